@@ -67,3 +67,25 @@ class Workspace:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
+
+
+def per_text(df: DataFrame, id_col: str, text_col: str, make, columns: str, step: int = 256) -> DataFrame:
+    """The id of each row, and what make()(texts) says of its text (null: empty) as Arrow arrays.
+
+    Rows stream through in slices of ``step`` texts, so memory follows the largest slice and not
+    the partition; make() is called once for each task, which keeps nothing but its caches."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        f = make()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                texts = [x or "" for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), *f(texts)], names=names)
+
+    names = ["_id", *[c.strip().split(" ")[0] for c in columns.split(";")]]
+    source = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    kind = source.schema["_id"].dataType.simpleString()
+    return source.mapInArrow(run, f"_id {kind}, {columns.replace(';', ',')}").withColumnRenamed("_id", id_col)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan
+from . import bpe, exact_dedup, license_scan, token_counts
 
 QUERIES = {
+    "op2_bpe": bpe.query,
+    "op7_token_counts": token_counts.query,
     "op8_license_scan": license_scan.query,
     "op10_exact_dedup": exact_dedup.query,
 }
