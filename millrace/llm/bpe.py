@@ -12,6 +12,7 @@ shuffles nothing.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import re
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 from ._common import per_text, table
 
 #: Words longer than this and more words than this aren't cached.
-LONGEST, CACHED = 64, 200_000
+LONGEST, CACHED = 64, 300_000
+#: Fragments up to this length are merged by looking at all their pairs again, longer ones with a heap.
+SHORT, NONE = 24, (1 << 62, -1)
 
 
 def byte_symbols() -> list[str]:
@@ -71,6 +74,14 @@ class Codec:
         if ends:
             ids[-1] = self.last[data[-1]]
         n, merges = len(ids), self.merges
+        if n <= SHORT:
+            while len(ids) > 1:
+                ranks = [merges.get(p, NONE) for p in zip(ids, ids[1:], strict=False)]
+                if (m := min(ranks)) is NONE:
+                    break
+                i = ranks.index(m)
+                ids[i : i + 2] = [m[1]]
+            return tuple(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(m[0], i, m[1], ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
@@ -138,6 +149,12 @@ class Codec:
 _ODD, _SPACE = re.compile("[\x1c-\x1f]"), re.compile("[^\\S\x1c-\x1f]+")
 
 
+@functools.lru_cache(1)
+def codec(path: str) -> Codec:
+    """One for each Python worker, whatever the number of its tasks."""
+    return Codec(path)
+
+
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, ids (the token ids as little-endian 32-bit integers), as the
     tokenizers library gives them with add_special_tokens=False.
@@ -148,8 +165,8 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def make():
         import pyarrow as pa
 
-        codec = Codec(path)
-        return lambda texts: [pa.array([codec.encode(t) for t in texts], pa.binary())]
+        encode = codec(path).encode
+        return lambda texts: [pa.array([encode(t) for t in texts], pa.binary())]
 
     return per_text(docs, id_col, text_col, make, "ids binary")
 
@@ -161,11 +178,11 @@ def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
     def run(batches):
         import pyarrow as pa
 
-        codec = Codec(path)
+        decode = codec(path).decode
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([codec.decode(x or b"") for x in part.column(1).to_pylist()], pa.string())], names=["_id", "_ids", "_text"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([decode(x or b"") for x in part.column(1).to_pylist()], pa.string())], names=["_id", "_ids", "_text"])
 
     source = encoded.select(F.col(id_col).alias("_id"), F.col(ids_col).alias("_ids"))
     kind = source.schema["_id"].dataType.simpleString()

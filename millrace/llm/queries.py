@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, license_scan, token_counts
+from . import bpe, exact_dedup, license_scan, mixing, token_counts
 
 QUERIES = {
     "op2_bpe": bpe.query,
+    "op4_mix": mixing.query,
     "op7_token_counts": token_counts.query,
     "op8_license_scan": license_scan.query,
     "op10_exact_dedup": exact_dedup.query,

@@ -1,8 +1,8 @@
 """Token counts under a unigram model, by trie-shared dynamic programming.
 
-The distinct pre-tokens that a task meets go into a trie. Each trie node is one prefix and holds
+The distinct pre-tokens that a worker meets go into a trie. Each trie node is one prefix and holds
 the forward (Viterbi) score of that prefix and its number of tokens, computed once however many
-pre-tokens share it; terminals store the counts, and a text's count is their sum. Each task has
+pre-tokens share it; terminals store the counts, and a text's count is their sum. Each worker has
 its own trie, emptied when it reaches a bounded number of nodes, so nothing is shuffled.
 
 The pieces come from a SentencePiece file (a parameter). Their log-probability follows their
@@ -11,13 +11,14 @@ rank in that file by Zipf's law; characters without a piece fall back to UTF-8 b
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame
 
 from ._common import WHITE, per_text, table
 
-#: Nodes of a task's trie before it is emptied, and the longest pre-token that goes into it.
+#: Nodes of a worker's trie before it is emptied, and the longest pre-token that goes into it.
 NODES, LONGEST = 400_000, 96
 #: Log-probability of a byte of a character that no piece holds.
 BYTE_SCORE = -25.0
@@ -35,7 +36,8 @@ def pieces(path: str) -> dict[str, float]:
 
 class Trie:
     def __init__(self, scores: dict[str, float]):
-        self.scores, self.longest = scores, max(map(len, scores), default=1)
+        #: Every suffix of a piece; the score where it is itself one.
+        self.ends = {p[k:]: None for p in scores for k in range(1, len(p))} | scores
         self.clear()
 
     def clear(self) -> None:
@@ -47,9 +49,10 @@ class Trie:
         """Forward score and tokens of word[:end], from those of all shorter prefixes; of equal scores the fewer tokens."""
         size = len(word[end - 1].encode("utf-8", "replace"))
         top = best[end - 1] + size * BYTE_SCORE, -(count[end - 1] + size)
-        get = self.scores.get
-        for start in range(max(0, end - self.longest), end):
-            s = get(word[start:end])
+        get = self.ends.get
+        for start in range(end - 1, -1, -1):
+            if (s := get(word[start:end], 0)) == 0:
+                break  # no piece that ends here is longer
             if s is not None and (x := (best[start] + s, -count[start] - 1)) > top:
                 top = x
         return top[0], -top[1]
@@ -78,6 +81,12 @@ class Trie:
         return count[-1]
 
 
+@functools.lru_cache(1)
+def shared_trie(path: str) -> Trie:
+    """One for each Python worker, whatever the number of its tasks."""
+    return Trie(pieces(path))
+
+
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_pretokens, n_tokens.
 
@@ -87,7 +96,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def make():
         import pyarrow as pa
 
-        trie, blank = Trie(pieces(path)), str.maketrans(WHITE, " " * len(WHITE))
+        trie, blank = shared_trie(path), str.maketrans(WHITE, " " * len(WHITE))
 
         def count(texts):
             n_pre, n_tok = [], []
