@@ -13,9 +13,9 @@ shuffles nothing.
 from __future__ import annotations
 
 import functools
-import heapq
 import json
 import re
+import struct
 import unicodedata
 
 from pyspark.sql import DataFrame
@@ -23,10 +23,8 @@ from pyspark.sql import functions as F
 
 from ._common import per_text, table
 
-#: Words longer than this and more words than this aren't cached.
-LONGEST, CACHED = 64, 300_000
-#: Fragments up to this length are merged by looking at all their pairs again, longer ones with a heap.
-SHORT, NONE = 24, (1 << 62, -1)
+#: Words, pre-tokens and fragments longer than this, and more of each than this, aren't cached.
+LONGEST, CACHED = 64, 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -39,6 +37,7 @@ def byte_symbols() -> list[str]:
 class Codec:
     def __init__(self, path: str):
         import regex
+        from tokenizers import models
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -47,20 +46,20 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.tokens = [self.names[i].encode() for i in range(max(self.names) + 1)]
-        self.merges = {}
-        for rank, (a, b) in enumerate(tuple(m.split(" ")) if isinstance(m, str) else m for m in model["merges"]):
-            self.merges[vocab[a], vocab[b]] = rank, vocab[a + b]
-        symbol = byte_symbols()
-        self.inner = [vocab[c] for c in symbol]
-        self.last = [vocab[c + self.suffix] for c in symbol]
-        byte = {c: b for b, c in enumerate(symbol)}
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        #: The merges of a fragment inside a pre-token, and of one that closes it.
+        self.inner = models.BPE(vocab=vocab, merges=merges)
+        self.closing = models.BPE(vocab=vocab, merges=merges, end_of_word_suffix=self.suffix)
+        self.symbol = byte_symbols()
+        byte = {c: b for b, c in enumerate(self.symbol)}
         held = {(byte[a], byte[b]) for t in vocab for s in [t.removesuffix(self.suffix)] for a, b in zip(s, s[1:], strict=False)}
         #: For each byte, the bytes that may follow it inside a token.
         self.follows = [frozenset(b for b in range(256) if (a, b) in held) for a in range(256)]
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pre = regex.compile(pattern.replace("\\s", "\\p{White_Space}"))
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.fragments: dict[tuple[bytes, bool], tuple[int, ...]] = {}
+        self.fragments: dict[tuple[bytes, bool], bytes] = {}
+        self.tokens_of: dict[str, bytes] = {}
         self.cache: dict[str, bytes] = {}
 
     def cuts(self, data: bytes) -> list[int]:
@@ -68,50 +67,27 @@ class Codec:
         follows = self.follows
         return [0, *[i + 1 for i in range(len(data) - 1) if data[i + 1] not in follows[data[i]]], len(data)]
 
-    def merged(self, data: bytes, ends: bool) -> tuple[int, ...]:
-        """Ids of one fragment: of all pairs that can merge the lowest rank first, then the leftmost."""
-        ids = [self.inner[b] for b in data]
-        if ends:
-            ids[-1] = self.last[data[-1]]
-        n, merges = len(ids), self.merges
-        if n <= SHORT:
-            while len(ids) > 1:
-                ranks = [merges.get(p, NONE) for p in zip(ids, ids[1:], strict=False)]
-                if (m := min(ranks)) is NONE:
-                    break
-                i = ranks.index(m)
-                ids[i : i + 2] = [m[1]]
-            return tuple(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], i, m[1], ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
-        heapq.heapify(heap)
-        while heap:
-            _, i, new, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j], k = new, -1, after[j]
-            after[i] = k
-            if k < n:
-                before[k] = i
-                if m := merges.get((new, ids[k])):
-                    heapq.heappush(heap, (m[0], i, m[1], new, ids[k]))
-            if (h := before[i]) >= 0 and (m := merges.get((ids[h], new))):
-                heapq.heappush(heap, (m[0], h, m[1], ids[h], new))
-        return tuple(x for x in ids if x >= 0)
-
-    def pre_token(self, token: str) -> list[int]:
-        data, out = token.encode("utf-8", "replace"), []
+    def pre_token(self, token: str) -> bytes:
+        """Ids, four bytes each: those of the fragments, one after the other."""
+        if (out := self.tokens_of.get(token)) is not None:
+            return out
+        data, out = token.encode("utf-8", "replace"), b""
         at = self.cuts(data)
         for lo, hi in zip(at, at[1:], strict=False):
             key = data[lo:hi], hi == len(data)
             if (ids := self.fragments.get(key)) is None:
-                ids = self.merged(*key)
+                model = self.closing if key[1] else self.inner
+                found = [x.id for x in model.tokenize("".join([self.symbol[b] for b in key[0]]))]
+                ids = struct.pack(f"<{len(found)}I", *found)
                 if hi - lo <= LONGEST:
                     if len(self.fragments) >= CACHED:
                         self.fragments.clear()
                     self.fragments[key] = ids
             out += ids
+        if len(token) <= LONGEST:
+            if len(self.tokens_of) >= CACHED:
+                self.tokens_of.clear()
+            self.tokens_of[token] = out
         return out
 
     def run(self, text: str) -> bytes:
@@ -119,7 +95,7 @@ class Codec:
         if (got := self.cache.get(text)) is not None:
             return got
         plain = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # capital sigma: no final form
-        out = b"".join(i.to_bytes(4, "little") for t in self.pre.findall(plain) for i in self.pre_token(t))
+        out = b"".join([self.pre_token(t) for t in ((plain,) if plain.isalpha() else self.pre.findall(plain))])
         if len(text) <= LONGEST:
             if len(self.cache) >= CACHED:
                 self.cache.clear()

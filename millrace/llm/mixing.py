@@ -4,9 +4,9 @@ Every row is taken floor(r) times, r being target over size of its source, and o
 probability r - floor(r). Which rows get the extra copy is a balanced sample: the flight phase
 moves three rows at a time along the null space of the two constraints (documents and words of
 the source) until one of them is decided, so both totals stay exactly as expected. At most two
-rows of a source stay undecided in a group; they meet again in ever fewer groups, and the last
-two of a source are landed on the choice whose words come nearest. Long texts fly first, so
-those that are left are short.
+rows of a source stay undecided in a group; they meet again in ever fewer groups, and the
+last two of a source are landed, together with a few of its rows of all sizes, on the choice whose words
+come nearest.
 
 Rows go to groups by a hash of their id and text, and every draw is seeded by the group, so the
 result doesn't depend on how the input is partitioned. A source that holds a third of all rows
@@ -25,6 +25,8 @@ from ._common import Workspace, table, whole, words
 
 #: Rows of a group of the first flight on average, and how many groups of one flight meet in one of the next.
 GROUP, MEET = 40_000, 2_000
+#: Rows of each source, spread over the sizes, that the last flight leaves to the landing besides its own two.
+LANDING = 12
 
 
 def source_targets(rows: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
@@ -78,12 +80,16 @@ def flight(p: list[float], size: list[int], draw) -> None:
 
 
 def land(p: list[float], size: list[int]) -> None:
-    """Decides the at most two left: the choice whose words come nearest, then whose documents do."""
+    """Decides the few left: the choice whose words come nearest, with a small price for documents off."""
+    import numpy as np
+
     open_ = [k for k in range(len(p)) if 0.0 < p[k] < 1.0]
-    words_, docs = sum(p[k] * size[k] for k in open_), sum(p[k] for k in open_)
-    choices = [[(c >> b) & 1 for b in range(len(open_))] for c in range(1 << len(open_))]
-    best = min(choices, key=lambda c: (abs(sum(x * size[k] for x, k in zip(c, open_, strict=True)) - words_), abs(sum(c) - docs), c))
-    for x, k in zip(best, open_, strict=True):
+    if not open_:
+        return
+    choice = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
+    q, s = np.array([p[k] for k in open_]), np.array([size[k] for k in open_], float)
+    off = np.abs(choice @ s - q @ s) + 0.02 * s.mean() * np.abs(choice.sum(axis=1) - q.sum())
+    for x, k in zip(choice[int(np.argmin(off))], open_, strict=True):
         p[k] = float(x)
 
 
@@ -93,12 +99,18 @@ def _fly(rows: DataFrame, group: str, seed: int, last: bool) -> DataFrame:
     def one(pdf):
         import random
 
-        pdf = pdf.sort_values(["_size", "_hash"], ascending=[False, True], kind="stable")  # the small ones stay undecided
+        pdf = pdf.sort_values(["_size", "_hash"], ascending=[False, True], kind="stable")
         out = pdf["_p"].to_numpy().copy()
         for name, at in sorted(pdf.reset_index(drop=True).groupby("_source", dropna=False, sort=False).indices.items() if not pdf["_source"].isna().all() else [("", range(len(pdf)))], key=lambda kv: str(kv[0])):
             at = list(at)
             p, size = [float(out[k]) for k in at], [int(x) for x in pdf["_size"].to_numpy()[at]]
-            flight(p, size, random.Random(f"{seed} {int(pdf['_group'].iloc[0])} {name}").random)
+            # Rows of all sizes stay on the ground in the last flight, for the landing to choose from.
+            ground = {(2 * k + 1) * len(p) // (2 * LANDING) for k in range(LANDING)} if last else set()
+            fly = [k for k in range(len(p)) if k not in ground]
+            q = [p[k] for k in fly]
+            flight(q, [size[k] for k in fly], random.Random(f"{seed} {int(pdf['_group'].iloc[0])} {name}").random)
+            for k, x in zip(fly, q, strict=True):
+                p[k] = x
             if last:
                 land(p, size)
             out[at] = p
