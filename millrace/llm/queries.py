@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, license_scan, mixing, token_counts
+from . import bpe, exact_dedup, license_scan, mixing, pii, token_counts, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op2_bpe": bpe.query,
     "op4_mix": mixing.query,
+    "op5_pii": pii.query,
     "op7_token_counts": token_counts.query,
     "op8_license_scan": license_scan.query,
     "op10_exact_dedup": exact_dedup.query,
