@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, license_scan, mixing, pii, token_counts, toxicity
+from . import bpe, exact_dedup, license_scan, mixing, pii, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_bpe": bpe.query,
+    "op3_quality": quality.query,
     "op4_mix": mixing.query,
     "op5_pii": pii.query,
     "op7_token_counts": token_counts.query,
