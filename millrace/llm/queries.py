@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, license_scan, mixing, pii, quality, token_counts, toxicity
+from . import bpe, exact_dedup, license_scan, mixing, ngram_join, pii, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_pii": pii.query,
     "op7_token_counts": token_counts.query,
     "op8_license_scan": license_scan.query,
+    "op9_ngram_join": ngram_join.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 ORACLE_SQL = {
