@@ -52,8 +52,9 @@ class Shingler:
         known = self.known
         if len(known) > 400_000:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh3_64_intdigest(w)
+        for w in set(words):
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         k, m = min(self.n, len(words)), max(1, len(words) - self.n + 1)
         out = np.full(m, k, np.uint64)
@@ -267,7 +268,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Round two: blocks that are not one component yet.
     labelled = keys.join(roots, F.col("_class") == F.col("_v"), "left").select("_key", "_class", "_size", F.coalesce("root", "_class").alias("_root"))
     labelled = space.save(labelled, "labelled")
-    mixed = labelled.groupBy("_key").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.count(F.lit(1)).alias("_n")).filter("_lo != _hi")
+    mixed = labelled.groupBy("_key").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64("_class")).alias("_x"), F.bit_xor(F.xxhash64("_class", F.lit(1))).alias("_y")).filter("_lo != _hi")
+    mixed = mixed.groupBy("_n", "_x", "_y").agg(F.min("_key").alias("_key"))  # blocks of the same texts are one
     mixed = mixed.select(F.col("_key").alias("_k"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("_parts"))
     blocks = labelled.join(mixed, F.col("_key") == F.col("_k")).drop("_k").withColumn("_part", F.pmod(F.hash("_class"), F.col("_parts")))
     other = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
