@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import bpe, exact_dedup, license_scan, mixing, ngram_join, pii, quality, token_counts, toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_toxicity": toxicity.query,
     "op2_bpe": bpe.query,
     "op3_quality": quality.query,
