@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 
 from ._common import WHITE, per_text, table
 
-#: Nodes of a worker's trie before it is emptied, and the longest pre-token that goes into it.
-NODES, LONGEST = 400_000, 96
+#: Nodes of a worker's trie before it is emptied, terminals that outlive that, and the longest pre-token that goes into it.
+NODES, TERMINALS, LONGEST = 600_000, 800_000, 96
 #: Log-probability of a byte of a character that no piece holds.
 BYTE_SCORE = -25.0
 
@@ -41,21 +41,27 @@ class Trie:
         self.clear()
 
     def clear(self) -> None:
+        """Forgets prefixes; the counts of whole pre-tokens stay until they are too many."""
+        if len(getattr(self, "terminal", ())) > TERMINALS or not hasattr(self, "terminal"):
+            self.terminal: dict[str, int] = {}
         self.child: dict[tuple[int, str], int] = {}
         self.best, self.count = [0.0], [0]
-        self.terminal: dict[str, int] = {}
 
     def step(self, word: str, end: int, best: list[float], count: list[int]) -> tuple[float, int]:
         """Forward score and tokens of word[:end], from those of all shorter prefixes; of equal scores the fewer tokens."""
-        size = len(word[end - 1].encode("utf-8", "replace"))
-        top = best[end - 1] + size * BYTE_SCORE, -(count[end - 1] + size)
         get = self.ends.get
-        for start in range(end - 1, -1, -1):
+        s = get(word[end - 1])
+        if s is not None:
+            top, n = best[end - 1] + s, count[end - 1] + 1
+        else:  # bytes: never better than a piece of one character
+            size = len(word[end - 1].encode("utf-8", "replace"))
+            top, n = best[end - 1] + size * BYTE_SCORE, count[end - 1] + size
+        for start in range(end - 2, -1, -1):
             if (s := get(word[start:end], 0)) == 0:
                 break  # no piece that ends here is longer
-            if s is not None and (x := (best[start] + s, -count[start] - 1)) > top:
-                top = x
-        return top[0], -top[1]
+            if s is not None and ((x := best[start] + s) > top or x == top and count[start] < n - 1):
+                top, n = x, count[start] + 1
+        return top, n
 
     def tokens(self, word: str) -> int:
         """Tokens of the best segmentation of a pre-token; new prefixes become nodes."""
