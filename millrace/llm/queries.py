@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, license_scan, mixing, ngram_join, pii, quality, token_counts, toxicity
+from . import bpe, exact_dedup, license_scan, mixing, ngram_join, pii, quality, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -13,6 +13,7 @@ QUERIES = {
     "op3_quality": quality.query,
     "op4_mix": mixing.query,
     "op5_pii": pii.query,
+    "op6_suffix_dedup": suffix_dedup.query,
     "op7_token_counts": token_counts.query,
     "op8_license_scan": license_scan.query,
     "op9_ngram_join": ngram_join.query,
