@@ -5,9 +5,9 @@
    text holds and sends only those back. A text that shares fewer than 3/4 of its tokens with
    anything can't have a partner. So common passages alone, however frequent, lead nowhere.
 2. Of the remaining texts those that share a token of their prefix can be similar (prefix filter
-   at 3/4, exact). Each such block is first linked to one representative, and the links that
-   the full sets confirm are joined to components: a group of near copies of any size collapses
-   in time linear in its size.
+   at 3/4, exact). The texts of each such block first meet a pivot, and the links that the
+   full sets confirm are joined to components: a group of near copies of any size collapses in
+   time linear in its size.
 3. Where texts of a block are still in different components, a signature tree finds the rest:
    leaves hold texts in order of size, nodes the OR of the token bitmaps, the AND, and the size
    range. A dual traversal drops node pairs whose maximum possible overlap is too small or which
@@ -28,8 +28,12 @@ from .components import components
 
 #: Words of an n-gram, and the least similarity in hundredths.
 WORDS, LEAST = 5, 75
-#: Buckets of the token space at most, tokens that a task packs at once, bits of a signature, texts of a tree, children of a node.
-BUCKETS, PACK, BITS, BLOCK, FAN = 256, 2_000_000, 2048, 4096, 8
+#: Bytes of text for a bucket of the token space, and buckets at least; pivots of a block that is spread over keys, and turns of pivots.
+BUCKET, LEAST_BUCKETS, PIVOTS, TURNS = 16 << 20, 64, 4, 2
+#: Node pairs of a traversal looked at together.
+SLICE = 8192
+#: Tokens that a task packs at once, bits of a signature, texts of a tree, children of a node.
+PACK, BITS, BLOCK, FAN = 700_000, 8192, 4096, 8
 
 
 class Shingler:
@@ -69,8 +73,9 @@ class Shingler:
 def packed(docs: DataFrame, n_buckets: int) -> DataFrame:
     """bucket, run: for texts of a task (each class once) the tokens that fall into the bucket.
 
-    A run is: the number of classes d; d class keys, d set sizes, d counts of tokens; the tokens,
-    six bytes each. Every class has a part in the bucket of its own key, if an empty one."""
+    A run is: the number of classes d and of classes at home h; d class keys and counts of tokens
+    (at most 65535, else the class comes again); h class keys and set sizes; the tokens, six bytes
+    each. A class is at home in the bucket of its own key, so its size travels once."""
 
     def go(batches):
         import numpy as np
@@ -94,9 +99,14 @@ def packed(docs: DataFrame, n_buckets: int) -> DataFrame:
             runs = []
             for b in range(n_buckets):
                 lo, hi = ends[b], ends[b + 1]
-                n = np.bincount(doc[lo:hi], minlength=len(held))
-                here = np.flatnonzero((n > 0) | (home == b))
-                runs.append(np.int64(len(here)).tobytes() + key[here].tobytes() + size[here].astype("<u4").tobytes() + n[here].astype("<u4").tobytes() + raw[lo:hi].tobytes())
+                own, n = np.unique(doc[lo:hi], return_counts=True)
+                times = -(-n // 65535)
+                left = n - 65535 * (times - 1)
+                last = np.cumsum(times) - 1
+                counts = np.full(int(times.sum()), 65535, "<u2")
+                counts[last] = left
+                keys, here = np.repeat(key[own], times), np.flatnonzero(home == b)
+                runs.append(np.array([len(keys), len(here)], np.int64).tobytes() + keys.tobytes() + counts.tobytes() + key[here].tobytes() + size[here].astype("<u4").tobytes() + raw[lo:hi].tobytes())
             return pa.RecordBatch.from_arrays([pa.array(range(n_buckets), pa.int32()), pa.array(runs, pa.binary())], names=["bucket", "run"])
 
         for batch in batches:
@@ -116,7 +126,9 @@ def packed(docs: DataFrame, n_buckets: int) -> DataFrame:
 
 
 def _shared(runs: DataFrame, n_buckets: int) -> DataFrame:
-    """_class, _size, _tokens: of each bucket and class the tokens that another class holds too."""
+    """home, part: of each bucket the classes' tokens that another class holds too, packed by home.
+
+    A part is: d class keys, set sizes (0 but from home) and counts; the tokens, eight bytes each."""
 
     def go(group):
         import numpy as np
@@ -125,33 +137,76 @@ def _shared(runs: DataFrame, n_buckets: int) -> DataFrame:
         bucket, parts = group.column("bucket")[0].as_py(), []
         for run in group.column("run"):
             raw = run.as_buffer()
-            d = int(np.frombuffer(raw, "<i8", 1)[0])
-            key, size, n = np.frombuffer(raw, "<i8", d, 8), np.frombuffer(raw, "<u4", d, 8 + 8 * d), np.frombuffer(raw, "<u4", d, 8 + 12 * d)
-            six = np.frombuffer(raw, np.uint8, -1, 8 + 16 * d).reshape(-1, 6) if n.sum() else np.empty((0, 6), np.uint8)
-            tok = np.zeros((len(six), 8), np.uint8)
-            tok[:, :6] = six
-            parts.append((key, size, np.repeat(key, n), tok.view("<i8").reshape(-1)))
-        key, size, cls, tok = (np.concatenate([p[k] for p in parts]) for k in range(4))
+            d, h = (int(x) for x in np.frombuffer(raw, "<i8", 2))
+            key, n = np.frombuffer(raw, "<i8", d, 16), np.frombuffer(raw, "<u2", d, 16 + 8 * d)
+            at = 16 + 10 * d
+            mine, size = np.frombuffer(raw, "<i8", h, at), np.frombuffer(raw, "<u4", h, at + 8 * h)
+            at += 12 * h
+            tok = np.zeros((int(n.sum()), 8), np.uint8)
+            if len(tok):
+                tok[:, :6] = np.frombuffer(raw, np.uint8, -1, at).reshape(-1, 6)
+            parts.append((np.repeat(key, n), tok.view("<i8").reshape(-1), mine, size))
+        cls, tok, mine, size = (np.concatenate([p[k] for p in parts]) for k in range(4))
         order = np.lexsort((cls, tok))
         cls, tok = cls[order], tok[order]
-        same = np.concatenate([[False], tok[1:] == tok[:-1]]) if len(tok) else np.empty(0, bool)
-        twice = same & np.concatenate([[False], cls[1:] == cls[:-1]]) if len(tok) else same
-        cls, tok = cls[~twice], tok[~twice]
-        new = np.concatenate([[True], tok[1:] != tok[:-1]]) if len(tok) else np.empty(0, bool)
-        group_of = np.cumsum(new) - 1
-        common = np.bincount(group_of)[group_of] > 1 if len(tok) else new
-        cls, tok = cls[common], (tok[common] << np.int64(n_buckets.bit_length() - 1)) | np.int64(bucket)
+        if len(tok):
+            new = np.ones(len(tok), bool)
+            new[1:] = (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])  # a class that several tasks had
+            cls, tok = cls[new], tok[new]
+            of = np.cumsum(np.concatenate([[True], tok[1:] != tok[:-1]])) - 1
+            common = np.bincount(of)[of] > 1
+            cls, tok = cls[common], (tok[common] << np.int64(n_buckets.bit_length() - 1)) | np.int64(bucket)
+        mine, first = np.unique(mine, return_index=True)
+        size = size[first]
+        key = np.unique(np.concatenate([cls, mine]))
         order = np.argsort(cls, kind="stable")
         cls, tok = cls[order], tok[order]
-        key, first = np.unique(key, return_index=True)
-        size = size[first].astype(np.int64)
+        lo, hi = np.searchsorted(cls, key), np.searchsorted(cls, key, "right")
+        sizes = np.zeros(len(key), np.int64)
+        sizes[np.searchsorted(key, mine)] = size
+        to, homes, out = key & (n_buckets - 1), [], []
+        order = np.argsort(to, kind="stable")
+        ends = np.searchsorted(to[order], np.arange(n_buckets + 1))
+        for b in range(n_buckets):
+            own = order[ends[b] : ends[b + 1]]
+            if len(own):
+                homes.append(b)
+                tokens = np.concatenate([tok[lo[k] : hi[k]] for k in own])
+                out.append(np.int64(len(own)).tobytes() + key[own].tobytes() + sizes[own].astype("<u4").tobytes() + (hi - lo)[own].astype("<u4").tobytes() + tokens.tobytes())
+        return pa.table({"home": pa.array(homes, pa.int32()), "part": pa.array(out, pa.binary())})
+
+    return runs.groupBy("bucket").applyInArrow(go, "home int, part binary")
+
+
+def _classes(parts: DataFrame) -> DataFrame:
+    """_class, _size, _tokens: every class, with its shared tokens in order if they are enough for a partner, else null."""
+
+    def go(group):
+        import numpy as np
+        import pyarrow as pa
+
+        found = []
+        for part in group.column("part"):
+            raw = part.as_buffer()
+            d = int(np.frombuffer(raw, "<i8", 1)[0])
+            n = np.frombuffer(raw, "<u4", d, 8 + 12 * d)
+            found.append((np.frombuffer(raw, "<i8", d, 8), np.frombuffer(raw, "<u4", d, 8 + 8 * d), np.repeat(np.frombuffer(raw, "<i8", d, 8), n), np.frombuffer(raw, "<i8", int(n.sum()), 8 + 16 * d)))
+        key, size, cls, tok = (np.concatenate([p[k] for p in found]) for k in range(4))
+        order = np.lexsort((tok, cls))
+        cls, tok = cls[order], tok[order]
+        order = np.lexsort((size, key))
+        key, size = key[order], size[order].astype(np.int64)
+        last = np.concatenate([key[1:] != key[:-1], [True]])  # the size from home is the largest
+        key, size = key[last], size[last]
         lo = np.searchsorted(cls, key)
         n = np.searchsorted(cls, key, "right") - lo
-        keep = (n > 0) | ((key & (n_buckets - 1)) == bucket)
-        offsets = np.concatenate([[0], np.cumsum(n[keep])]).astype(np.int32)
-        return pa.table({"_class": pa.array(key[keep]), "_size": pa.array(size[keep]), "_tokens": pa.ListArray.from_arrays(pa.array(offsets), pa.array(tok))})
+        keep = (size > 0) & (100 * n >= LEAST * size)
+        mask = keep[np.searchsorted(key, cls)] if len(cls) else np.empty(0, bool)
+        offsets = np.concatenate([[0], np.cumsum(np.where(keep, n, 0))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tok[mask]), mask=pa.array(~keep))
+        return pa.table({"_class": pa.array(key), "_size": pa.array(size), "_tokens": lists})
 
-    return runs.groupBy("bucket").applyInArrow(go, "_class long, _size long, _tokens array<long>")
+    return parts.groupBy("home").applyInArrow(go, "_class long, _size long, _tokens array<long>")
 
 
 def needed(size):
@@ -186,8 +241,8 @@ def dual_traversal(size, bits, label):
     for depth in range(len(levels) - 1, -1, -1):
         lo, hi, any_, all_, first, last = levels[depth]
         alive = []
-        for at in range(0, len(p), 65536):  # a slice of the frontier at a time
-            a, b = p[at : at + 65536], q[at : at + 65536]
+        for at in range(0, len(p), SLICE):
+            a, b = p[at : at + SLICE], q[at : at + SLICE]
             ok = ~((first[a] == last[a]) & (first[b] == last[b]) & (first[a] == first[b]))
             ok &= (100 * hi[a] >= LEAST * lo[b]) & (100 * hi[b] >= LEAST * lo[a])
             a, b = a[ok], b[ok]
@@ -251,20 +306,25 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     space = Workspace(spark, "ngram")
     base = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text")).withColumn("_class", F.xxhash64("_text"))
-    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = 1 << max(3, min(wide, BUCKETS).bit_length() - 1)
-    found = _shared(packed(base, n_buckets), n_buckets)
-    per = found.groupBy("_class").agg(F.max("_size").alias("_size"), F.flatten(F.collect_list("_tokens")).alias("_tokens"))
-    alone = F.size("_tokens") < needed(F.col("_size"))
-    classes = space.save(per.select("_class", "_size", F.when(~alone & (F.col("_size") > 0), F.sort_array("_tokens")).alias("_tokens")), "classes")
+    volume = base.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    n_buckets = 1 << max(LEAST_BUCKETS, -(-volume // BUCKET)).bit_length() - 1
+    classes = space.save(_classes(_shared(packed(base, n_buckets), n_buckets)), "classes")
     sets = classes.filter("_tokens IS NOT NULL")
     prefix = sets.select("_class", "_size", F.explode(F.slice("_tokens", F.lit(1), (F.size("_tokens") - needed(F.col("_size")) + 1).cast("int"))).alias("_key"))
     keys = space.save(prefix, "keys")
-    # Round one: each block's texts and its least class.
-    least = keys.groupBy("_key").agg(F.min("_class").alias("_least"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("_key").alias("_k"), "_least")
-    star = keys.join(least, F.col("_key") == F.col("_k")).filter("_class != _least").select(F.col("_class").alias("a"), F.col("_least").alias("b")).distinct()
-    edges = space.save(confirmed(star, sets), "edges1")
-    roots = components(edges, space, "first").withColumnRenamed("v", "_v")
+    # Round one: each block's texts meet its pivots.
+    edges, roots = None, None
+    for turn in range(TURNS):
+        now = keys if roots is None else keys.join(roots, F.col("_class") == F.col("_v"), "left").withColumn("_root", F.coalesce("root", "_class")).drop("_v", "root")
+        rank = F.xxhash64("_class", F.pmod("_key", F.lit(PIVOTS)), F.lit(turn))
+        best = F.min(F.struct(rank.alias("r"), F.col("_class").alias("c"), F.col("_size").alias("n"), (F.col("_class") if roots is None else F.col("_root")).alias("l")))
+        pivot = now.groupBy("_key").agg(best.alias("_p"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("_key").alias("_k"), F.col("_p.c").alias("_pivot"), F.col("_p.n").alias("_m"), F.col("_p.l").alias("_l"))
+        met = now.join(pivot, F.col("_key") == F.col("_k")).filter(f"_class != _pivot AND 100 * _size >= {LEAST} * _m AND 100 * _m >= {LEAST} * _size")
+        met = met if roots is None else met.filter("_root != _l")
+        pairs = met.select(F.greatest("_class", "_pivot").alias("a"), F.least("_class", "_pivot").alias("b")).distinct()
+        found = space.save(confirmed(pairs, sets), f"edges{turn}")
+        edges = found if edges is None else edges.union(found)
+        roots = components(edges, space, f"turn{turn}_").withColumnRenamed("v", "_v")
     # Round two: blocks that are not one component yet.
     labelled = keys.join(roots, F.col("_class") == F.col("_v"), "left").select("_key", "_class", "_size", F.coalesce("root", "_class").alias("_root"))
     labelled = space.save(labelled, "labelled")
@@ -275,8 +335,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     other = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
     blocks = blocks.withColumn("_o", other).withColumn("_i", F.least("_part", "_o")).withColumn("_j", F.greatest("_part", "_o"))
     blocks = blocks.join(_signatures(sets), "_class").select("_key", "_i", "_j", "_part", "_class", "_size", "_bits", "_root")
-    more = space.save(confirmed(_tree_pairs(blocks).distinct(), sets), "edges2")
-    roots = components(edges.union(more), space, "second").withColumnRenamed("v", "_v")
+    more = space.save(confirmed(_tree_pairs(blocks).distinct(), sets), "rest")
+    roots = components(edges.union(more), space, "last").withColumnRenamed("v", "_v")
     out = base.select("_id", "_class").join(classes.select(F.col("_class").alias("_c"), "_size"), F.col("_class") == F.col("_c"))
     out = out.join(roots, F.col("_class") == F.col("_v"), "left").select("_id", "_size", F.coalesce("root", "_class").alias("_root"))
     name = out.groupBy("_root").agg(F.min("_id").alias("_name")).withColumnRenamed("_root", "_r")
