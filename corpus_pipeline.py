@@ -17,7 +17,7 @@ from millrace.llm._common import Workspace, table
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose id, or else null, is among ids."""
-    return docs.join(ids.select(F.col("doc_id").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return docs.join(ids.select(F.col("doc_id").alias("__kept_id")), F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +40,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     space = Workspace(spark, "mixed")
-    taken = space.save(mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("_of"), "copies", "_hash"), "taken")
+    taken = space.save(mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("__of"), F.col("copies").alias("__copies"), F.col("_hash").alias("__hash")), "taken")
     nth = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(by[0]))  # noqa: E731  ids are unique after the stages before
-    taken = taken.withColumn("_nth", nth("_of", "_hash"))
-    rows = docs.withColumn("_found", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).withColumn("_row", nth("doc_id", "_found"))
-    met = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("_found") == F.col("_hash")) & (F.col("_row") == F.col("_nth")))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    taken = taken.withColumn("__nth", nth("__of", "__hash"))
+    rows = docs.withColumn("__found", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).withColumn("__row", nth("doc_id", "__found"))
+    met = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("__of")) & (F.col("__found") == F.col("__hash")) & (F.col("__row") == F.col("__nth")))
+    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
