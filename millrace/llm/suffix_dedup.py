@@ -31,8 +31,17 @@ from pyspark.sql import functions as F
 
 from ._common import Workspace, table, whole
 
-#: Bytes of a repeated string and of a gram; windows looked at together; suffixes of a run; entries packed at once; splitter sample; buckets at most.
-LENGTH, GRAM, CHUNK, RUN, PACK, SAMPLE, BUCKETS = 400, 240, 1 << 20, 40_000, 1_000_000, 4096, 256
+#: Bytes of a repeated string and of a gram; windows looked at together; suffixes of a run; entries packed at once; splitter sample.
+LENGTH, GRAM, CHUNK, RUN, PACK, SAMPLE = 400, 240, 1 << 18, 30_000, 300_000, 4096
+#: Bytes of text for a bucket of hashes, and buckets at least.
+BUCKET, LEAST_BUCKETS = 32 << 20, 32
+
+
+def sliced(batches, rows: int = 128):
+    """Batches of few rows, so that what is made of one stays small."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
 
 
 class Hasher:
@@ -148,7 +157,7 @@ def _grams(texts: DataFrame, n_buckets: int) -> DataFrame:
         import numpy as np
 
         hasher, packer, seen = Hasher(), Packer(n_buckets), set()
-        for batch in batches:
+        for batch in sliced(batches):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if key in seen:
                     continue
@@ -175,7 +184,7 @@ def _regions(texts: DataFrame) -> DataFrame:
 
         hasher, seen = Hasher(), set()
         names = [x.split(" ")[0] for x in _REGION.split(", ")]
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for key, text, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 if key in seen:
@@ -297,7 +306,7 @@ def _runs(regions: DataFrame, splitters: list[bytes]) -> DataFrame:
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["range", "run"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for key, lo, data, anchors in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 held += [(data[a : a + LENGTH], key, lo + a) for a in anchors if a + LENGTH <= len(data)]
                 if len(held) >= RUN:
@@ -341,7 +350,7 @@ def _sample(regions: DataFrame) -> list[bytes]:
     def go(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [(h, data[a : a + 48]) for data, anchors, hs in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) for a, h in zip(anchors, hs, strict=True) if h % 64 == 0]
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())], names=["h", "s"])
 
@@ -356,7 +365,7 @@ def _undecided(regions: DataFrame, n_buckets: int) -> DataFrame:
         import numpy as np
 
         packer = Packer(n_buckets)
-        for batch in batches:
+        for batch in sliced(batches):
             for row in batch.to_pylist():
                 known = np.array(row["_at"] or [], np.int64) - row["_from"]
                 anchor, first, last, h = (np.array(row[c], np.int64) for c in ("_anchor", "_first", "_last", "_hash"))
@@ -379,7 +388,7 @@ def _windows(regions: DataFrame, n_buckets: int) -> DataFrame:
         import numpy as np
 
         hasher, packer = Hasher(), Packer(n_buckets)
-        for batch in batches:
+        for batch in sliced(batches):
             for row in batch.to_pylist():
                 anchor, first, last = (np.array(row[c], np.int64) for c in ("_anchor", "_first", "_last"))
                 raw = np.frombuffer(row["_data"], np.uint8)
@@ -413,17 +422,16 @@ def _cut(rows: DataFrame, kind: str) -> DataFrame:
         import pyarrow as pa
 
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part, n_bytes, spans, kept = batch.slice(lo, 256), [], [], []
-                for data, copies, at in zip(part.column(1), part.column(2).to_pylist(), part.column(3), strict=True):
-                    data = data.as_py()
-                    found = [(0, len(data))] if copies > 1 and len(data) >= LENGTH else covered(at.as_py() or [])
-                    ends = [0, *[x for s in found for x in s], len(data)]
-                    n_bytes.append(len(data))
-                    spans.append([{"start": a, "end": b} for a, b in found])
-                    kept.append(b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_bytes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["_id", "n_bytes", "spans", "kept"])
+        for part in sliced(batches):
+            n_bytes, spans, kept = [], [], []
+            for data, copies, at in zip(part.column(1), part.column(2).to_pylist(), part.column(3), strict=True):
+                data = data.as_py()
+                found = [(0, len(data))] if copies > 1 and len(data) >= LENGTH else covered(at.as_py() or [])
+                ends = [0, *[x for s in found for x in s], len(data)]
+                n_bytes.append(len(data))
+                spans.append([{"start": a, "end": b} for a, b in found])
+                kept.append(b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_bytes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["_id", "n_bytes", "spans", "kept"])
 
     return rows.select("_id", "_bytes", "_copies", "_at").mapInArrow(go, f"_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
@@ -436,8 +444,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the input, not on what is left, so no occurrence stays. Other columns are ignored."""
     spark = docs.sparkSession
     space = Workspace(spark, "suffix")
-    n_buckets = 1 << max(3, min(int(spark.conf.get("spark.sql.shuffle.partitions")), BUCKETS).bit_length() - 1)
     base = docs.select(F.col(id_col).alias("_id"), whole(text_col).cast("binary").alias("_bytes")).withColumn("_class", F.xxhash64("_bytes"))
+    volume = base.agg(F.sum(F.octet_length("_bytes"))).first()[0] or 0
+    n_buckets = 1 << max(LEAST_BUCKETS, -(-volume // BUCKET)).bit_length() - 1
     long_ = base.filter(F.octet_length("_bytes") >= LENGTH)
     anchors = space.save(meeting(_grams(long_, n_buckets)), "anchors")
 
