@@ -260,7 +260,7 @@ def dual_traversal(size, bits, label):
 
 
 def _tree_pairs(rows: DataFrame) -> DataFrame:
-    """a, b: pairs that a block's signature tree leaves. rows: _key, _i, _j, _part, _class, _size, _bits, _root."""
+    """a, b: pairs that a block's signature tree leaves. rows: _key, _i, _j, _part, _class, _size, _bits, _root, _before (lesser prefix keys)."""
 
     def go(group):
         import numpy as np
@@ -272,6 +272,10 @@ def _tree_pairs(rows: DataFrame) -> DataFrame:
         if group.column("_i")[0] != group.column("_j")[0]:
             across = part[a] != part[b]
             a, b = a[across], b[across]
+        # A pair is this block's only if it has no lesser key in common: then another block has it.
+        before = [frozenset(x) for x in group.column("_before").to_pylist()]
+        own = np.array([before[i].isdisjoint(before[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
+        a, b = a[own], b[own]
         return pa.table({"a": np.maximum(cls[a], cls[b]), "b": np.minimum(cls[a], cls[b])})
 
     return rows.groupBy("_key", "_i", "_j").applyInArrow(go, "a long, b long")
@@ -334,7 +338,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = labelled.join(mixed, F.col("_key") == F.col("_k")).drop("_k").withColumn("_part", F.pmod(F.hash("_class"), F.col("_parts")))
     other = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
     blocks = blocks.withColumn("_o", other).withColumn("_i", F.least("_part", "_o")).withColumn("_j", F.greatest("_part", "_o"))
-    blocks = blocks.join(_signatures(sets), "_class").select("_key", "_i", "_j", "_part", "_class", "_size", "_bits", "_root")
+    lesser = sets.select("_class", F.slice("_tokens", F.lit(1), (F.size("_tokens") - needed(F.col("_size")) + 1).cast("int")).alias("_before"))
+    blocks = blocks.join(_signatures(sets).join(lesser, "_class"), "_class").withColumn("_before", F.filter("_before", lambda k: k < F.col("_key")))
+    blocks = blocks.select("_key", "_i", "_j", "_part", "_class", "_size", "_bits", "_root", "_before")
     more = space.save(confirmed(_tree_pairs(blocks).distinct(), sets), "rest")
     roots = components(edges.union(more), space, "last").withColumnRenamed("v", "_v")
     out = base.select("_id", "_class").join(classes.select(F.col("_class").alias("_c"), "_size"), F.col("_class") == F.col("_c"))
