@@ -11,7 +11,9 @@
 3. Where texts of a block are still in different components, a signature tree finds the rest:
    leaves hold texts in order of size, nodes the OR of the token bitmaps, the AND, and the size
    range. A dual traversal drops node pairs whose maximum possible overlap is too small or which
-   are one component already. Surviving pairs are confirmed by their full sets and joined in.
+   are one component already. The pairs that survive are compared by the sets that their texts
+   carry; of the links only those that join something new leave the block, so it returns no more
+   rows than it has texts. Texts too long to carry their sets leave as pairs. Full sets confirm.
 
 Exact copies are one class from the start. A block of more than BLOCK texts is split, and the
 parts meet pairwise in tasks of their own. Tokens are 48 bits within a bucket of the token
@@ -33,7 +35,9 @@ BUCKET, LEAST_BUCKETS, PIVOTS, TURNS = 16 << 20, 64, 4, 2
 #: Node pairs of a traversal looked at together.
 SLICE = 8192
 #: Tokens that a task packs at once, bits of a signature, texts of a tree, children of a node.
-PACK, BITS, BLOCK, FAN = 700_000, 8192, 4096, 8
+PACK, BITS, BLOCK, FAN = 350_000, 8192, 2048, 8
+#: Shared tokens up to which a text carries its set into its blocks; a longer one carries its bitmap only.
+CARRIED = 1024
 
 
 class Shingler:
@@ -54,7 +58,7 @@ class Shingler:
         if not words:
             return np.empty(0, np.uint64)
         known = self.known
-        if len(known) > 400_000:
+        if len(known) > 100_000:
             known.clear()
         for w in set(words):
             if w not in known:
@@ -259,44 +263,100 @@ def dual_traversal(size, bits, label):
     return order[p[ok]], order[q[ok]]
 
 
+def _forest(a, b, flat, n, size, label, key):
+    """Of the candidate pairs (a, b) links that join what all links of this block would join.
+
+    flat has the tokens of all texts in a row, n their counts. A pair with a lesser prefix token
+    in common is left to the block of that token."""
+    import numpy as np
+
+    if not len(a):
+        return np.empty((0, 2), np.int64)
+    ids = np.unique(flat, return_inverse=True)[1]
+    start = np.cumsum(n) - n
+    early = (np.arange(len(flat)) - np.repeat(start, n) < np.repeat(n + (-LEAST * size // 100) + 1, n)) & (flat < key)
+    holds, holds_early = np.zeros(len(ids) + 1, bool), np.zeros(len(ids) + 1, bool)
+    label = np.unique(label, return_inverse=True)[1]
+    order = np.argsort(a, kind="stable")
+    a, b, out = a[order], b[order], []
+    cut = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+    for lo, hi in zip(cut, [*cut[1:], len(a)], strict=True):
+        x, y = a[lo], b[lo:hi]
+        y = y[label[y] != label[x]]
+        if not len(y):
+            continue
+        mine = slice(start[x], start[x] + n[x])
+        holds[ids[mine]] = True
+        holds_early[ids[mine][early[mine]]] = True
+        ends = np.cumsum(n[y])
+        at = np.repeat(start[y] - (ends - n[y]), n[y]) + np.arange(ends[-1])
+        both = np.add.reduceat(holds[ids[at]].astype(np.int64), ends - n[y])
+        before = np.logical_or.reduceat(holds_early[ids[at]] & early[at], ends - n[y])
+        holds[ids[mine]] = holds_early[ids[mine]] = False
+        for z in y[(100 * both >= LEAST * (size[x] + size[y] - both)) & ~before]:
+            if label[z] != label[x]:
+                out.append((x, z))
+                label[label == label[z]] = label[x]
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
 def _tree_pairs(rows: DataFrame) -> DataFrame:
-    """a, b: pairs that a block's signature tree leaves. rows: _key, _i, _j, _part, _class, _size, _bits, _root, _before (lesser prefix keys)."""
+    """a, b: what a block's signature tree leaves. rows: _key, _i, _j, _part, _class, _size, _set, _bits, _root.
+
+    Texts that carry their sets are compared here, and only links that join something new leave: no
+    more rows than the block has texts. Pairs with a longer text leave as the tree finds them."""
 
     def go(group):
         import numpy as np
         import pyarrow as pa
-
-        cls, part = group.column("_class").to_numpy(), group.column("_part").to_numpy()
-        bits = np.frombuffer(b"".join(group.column("_bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        a, b = dual_traversal(group.column("_size").to_numpy(), bits, group.column("_root").to_numpy())
+        import pyarrow.compute as pc
+
+        cls, part, size, root = (group.column(c).to_numpy() for c in ("_class", "_part", "_size", "_root"))
+        sets = group.column("_set")
+        n, flat = pc.fill_null(pc.list_value_length(sets), 0).to_numpy().astype(np.int64), pc.list_flatten(sets).to_numpy()
+        bits = bitmaps(flat, n)
+        carried = n > 0
+        if not carried.all():
+            bits[~carried] = np.frombuffer(b"".join(group.column("_bits").drop_null().to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        a, b = dual_traversal(size, bits, root)
         if group.column("_i")[0] != group.column("_j")[0]:
             across = part[a] != part[b]
             a, b = a[across], b[across]
-        # A pair is this block's only if it has no lesser key in common: then another block has it.
-        before = [frozenset(x) for x in group.column("_before").to_pylist()]
-        own = np.array([before[i].isdisjoint(before[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
-        a, b = a[own], b[own]
+        here = carried[a] & carried[b]
+        links = _forest(a[here], b[here], flat, n, size, root, group.column("_key")[0].as_py())
+        a, b = np.concatenate([links[:, 0], a[~here]]), np.concatenate([links[:, 1], b[~here]])
         return pa.table({"a": np.maximum(cls[a], cls[b]), "b": np.minimum(cls[a], cls[b])})
 
     return rows.groupBy("_key", "_i", "_j").applyInArrow(go, "a long, b long")
 
 
+def bitmaps(flat, n):
+    """A row of BITS bits for each text; flat has the tokens of all, n their counts."""
+    import numpy as np
+
+    out, ends = np.zeros((len(n), BITS // 64), np.uint64), np.cumsum(n)
+    for lo in range(0, len(n), 256):
+        many = n[lo : lo + 256]
+        x = np.zeros((len(many), BITS), np.uint8)
+        x[np.repeat(np.arange(len(many)), many), (flat[ends[lo] - n[lo] : ends[lo + len(many) - 1]] >> 11) % BITS] = 1
+        out[lo : lo + 256] = np.packbits(x, axis=1).view(np.uint64)
+    return out
+
+
 def _signatures(sets: DataFrame) -> DataFrame:
-    """_class and _bits: the token bitmap of each text."""
+    """_class and what it carries into its blocks: _set, or else _bits, the bitmap of a longer set."""
 
     def go(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            out = []
-            for t in batch.column(1):
-                x = np.zeros(BITS, np.uint8)
-                x[(t.values.to_numpy() >> 11) % BITS] = 1
-                out.append(np.packbits(x).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["_class", "_bits"])
+            carried = [len(t.values) <= CARRIED for t in batch.column(1)]
+            bits = [None if c else bitmaps(t.values.to_numpy(), np.array([len(t.values)]))[0].tobytes() for c, t in zip(carried, batch.column(1), strict=True)]
+            held = [t.values.to_numpy() if c else None for c, t in zip(carried, batch.column(1), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["_class", "_set", "_bits"])
 
-    return sets.select("_class", "_tokens").mapInArrow(go, "_class long, _bits binary")
+    return sets.select("_class", "_tokens").mapInArrow(go, "_class long, _set array<long>, _bits binary")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,9 +398,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = labelled.join(mixed, F.col("_key") == F.col("_k")).drop("_k").withColumn("_part", F.pmod(F.hash("_class"), F.col("_parts")))
     other = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
     blocks = blocks.withColumn("_o", other).withColumn("_i", F.least("_part", "_o")).withColumn("_j", F.greatest("_part", "_o"))
-    lesser = sets.select("_class", F.slice("_tokens", F.lit(1), (F.size("_tokens") - needed(F.col("_size")) + 1).cast("int")).alias("_before"))
-    blocks = blocks.join(_signatures(sets).join(lesser, "_class"), "_class").withColumn("_before", F.filter("_before", lambda k: k < F.col("_key")))
-    blocks = blocks.select("_key", "_i", "_j", "_part", "_class", "_size", "_bits", "_root", "_before")
+    blocks = blocks.join(_signatures(sets), "_class").select("_key", "_i", "_j", "_part", "_class", "_size", "_set", "_bits", "_root")
     more = space.save(confirmed(_tree_pairs(blocks).distinct(), sets), "rest")
     roots = components(edges.union(more), space, "last").withColumnRenamed("v", "_v")
     out = base.select("_id", "_class").join(classes.select(F.col("_class").alias("_c"), "_size"), F.col("_class") == F.col("_c"))

@@ -238,8 +238,10 @@ def near_copies(n, edits, seed):
     return out
 
 
-def test_ngram_join(spark, docs, texts, monkeypatch):
+@pytest.mark.parametrize("carried", [1024, 100, 0])
+def test_ngram_join(spark, docs, texts, monkeypatch, carried):
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "CARRIED", carried)
     rows = [*texts.items(), *near_copies(40, 6, 1), *near_copies(30, 9, 2), (7001, "A b\tc D e"), (7002, "a B c d E"), (7003, "a b"), (7004, "A  B")]
     got = {r[0]: tuple(r[1:]) for r in ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_components(rows)
