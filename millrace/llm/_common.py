@@ -69,21 +69,37 @@ class Workspace:
             path.getFileSystem(conf).delete(path, True)
 
 
-def per_text(df: DataFrame, id_col: str, text_col: str, make, columns: str, step: int = 256) -> DataFrame:
+def give_back() -> None:
+    """Returns free memory to the system. A worker process lives on after a task, idle or with tasks of other operators."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def per_text(df: DataFrame, id_col: str, text_col: str, make, columns: str, step: int = 256, done=lambda: None) -> DataFrame:
     """The id of each row, and what make()(texts) says of its text (null: empty) as Arrow arrays.
 
     Rows stream through in slices of ``step`` texts, so memory follows the largest slice and not
-    the partition; make() is called once for each task, which keeps nothing but its caches."""
+    the partition; make() is called once for each task, done() at its end, to empty caches that
+    would stay with the worker process."""
 
     def run(batches):
         import pyarrow as pa
 
         f = make()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, step):
-                part = batch.slice(lo, step)
-                texts = [x or "" for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *f(texts)], names=names)
+        try:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, step):
+                    part = batch.slice(lo, step)
+                    texts = [x or "" for x in part.column(1).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *f(texts)], names=names)
+        finally:
+            done()
+            give_back()
 
     names = ["_id", *[c.strip().split(" ")[0] for c in columns.split(";")]]
     source = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))

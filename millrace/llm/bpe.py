@@ -62,6 +62,11 @@ class Codec:
         self.tokens_of: dict[str, bytes] = {}
         self.cache: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Empties the caches; the tables stay."""
+        for cache in (self.fragments, self.tokens_of, self.cache):
+            cache.clear()
+
     def cuts(self, data: bytes) -> list[int]:
         """Where a token certainly ends inside data, with both ends."""
         follows = self.follows
@@ -144,7 +149,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         encode = codec(path).encode
         return lambda texts: [pa.array([encode(t) for t in texts], pa.binary())]
 
-    return per_text(docs, id_col, text_col, make, "ids binary")
+    return per_text(docs, id_col, text_col, make, "ids binary", done=lambda: codec(path).forget())
 
 
 def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Workspace, table, whole
+from ._common import Workspace, give_back, table, whole
 from .components import components
 
 #: Words of an n-gram, and the least similarity in hundredths.
@@ -114,6 +114,7 @@ def packed(docs: DataFrame, n_buckets: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(range(n_buckets), pa.int32()), pa.array(runs, pa.binary())], names=["bucket", "run"])
 
         for batch in batches:
+            give_back()
             for c, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if c in seen:
                     continue
@@ -125,6 +126,9 @@ def packed(docs: DataFrame, n_buckets: int) -> DataFrame:
                     held, count = [], 0
         if held:
             yield flush()
+        shingler.known.clear()
+        held.clear()
+        give_back()
 
     return docs.select("_class", "_text").mapInArrow(go, "bucket int, run binary")
 
@@ -151,8 +155,10 @@ def _shared(runs: DataFrame, n_buckets: int) -> DataFrame:
                 tok[:, :6] = np.frombuffer(raw, np.uint8, -1, at).reshape(-1, 6)
             parts.append((np.repeat(key, n), tok.view("<i8").reshape(-1), mine, size))
         cls, tok, mine, size = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        parts.clear()
         order = np.lexsort((cls, tok))
         cls, tok = cls[order], tok[order]
+        del order
         if len(tok):
             new = np.ones(len(tok), bool)
             new[1:] = (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])  # a class that several tasks had
@@ -177,6 +183,7 @@ def _shared(runs: DataFrame, n_buckets: int) -> DataFrame:
                 homes.append(b)
                 tokens = np.concatenate([tok[lo[k] : hi[k]] for k in own])
                 out.append(np.int64(len(own)).tobytes() + key[own].tobytes() + sizes[own].astype("<u4").tobytes() + (hi - lo)[own].astype("<u4").tobytes() + tokens.tobytes())
+        give_back()
         return pa.table({"home": pa.array(homes, pa.int32()), "part": pa.array(out, pa.binary())})
 
     return runs.groupBy("bucket").applyInArrow(go, "home int, part binary")
@@ -196,6 +203,7 @@ def _classes(parts: DataFrame) -> DataFrame:
             n = np.frombuffer(raw, "<u4", d, 8 + 12 * d)
             found.append((np.frombuffer(raw, "<i8", d, 8), np.frombuffer(raw, "<u4", d, 8 + 8 * d), np.repeat(np.frombuffer(raw, "<i8", d, 8), n), np.frombuffer(raw, "<i8", int(n.sum()), 8 + 16 * d)))
         key, size, cls, tok = (np.concatenate([p[k] for p in found]) for k in range(4))
+        found.clear()
         order = np.lexsort((tok, cls))
         cls, tok = cls[order], tok[order]
         order = np.lexsort((size, key))
@@ -208,6 +216,7 @@ def _classes(parts: DataFrame) -> DataFrame:
         mask = keep[np.searchsorted(key, cls)] if len(cls) else np.empty(0, bool)
         offsets = np.concatenate([[0], np.cumsum(np.where(keep, n, 0))]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tok[mask]), mask=pa.array(~keep))
+        give_back()
         return pa.table({"_class": pa.array(key), "_size": pa.array(size), "_tokens": lists})
 
     return parts.groupBy("home").applyInArrow(go, "_class long, _size long, _tokens array<long>")

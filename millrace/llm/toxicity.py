@@ -21,7 +21,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import per_text, table, whole
+from ._common import give_back, per_text, table, whole
 
 #: The bound of the fitted sample: examples of each label, the first by hash of their id.
 POSITIVE, NEGATIVE = 2000, 4000
@@ -212,7 +212,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
         return run
 
-    return per_text(docs, id_col, text_col, make, "score double; predicted int; evidence array<struct<id:string,label:int,cosine:double>>")
+    return per_text(docs, id_col, text_col, make, "score double; predicted int; evidence array<struct<id:string,label:int,cosine:double>>", done=lambda: shared.value.cache.clear())
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -230,8 +230,12 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
         import pyarrow as pa
 
         m = shared.value
-        for batch in batches:
-            clean = [m.score(t or "")[0] < LIMIT for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+        try:
+            for batch in batches:
+                clean = [m.score(t or "")[0] < LIMIT for t in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+        finally:
+            m.cache.clear()
+            give_back()
 
     return docs.mapInArrow(run, docs.schema)
