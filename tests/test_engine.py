@@ -183,7 +183,7 @@ def test_sources(spark, tmp_path):
 def test_functions_and_stats(engine, spark):
     functions.register("twice", lambda x: x * 2)
     try:
-        assert rows(engine.query("select twice(id) as t from users where id = 2")) == [(4,)]
+        assert rows(engine.query("select twice(id) as doubled from users where id = 2")) == [(4,)]
     finally:
         del functions.SCALARS["twice"]
     with pytest.raises(UnsupportedQueryError):
