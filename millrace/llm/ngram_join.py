@@ -14,6 +14,9 @@
    are one component already. The pairs that survive are compared by the sets that their texts
    carry; of the links only those that join something new leave the block, so it returns no more
    rows than it has texts. Texts too long to carry their sets leave as pairs. Full sets confirm.
+4. Links are counted once the components are known, as every link lies within one: the sets of a
+   component's texts come together once and not once for each prefix token, each pair is compared
+   in one task, and what leaves a task is a count for each text.
 
 Exact copies are one class from the start. A block of more than BLOCK texts is split, and the
 parts meet pairwise in tasks of their own. Tokens are 48 bits within a bucket of the token
@@ -38,6 +41,8 @@ SLICE = 8192
 PACK, BITS, BLOCK, FAN = 350_000, 8192, 2048, 8
 #: Shared tokens up to which a text carries its set into its blocks; a longer one carries its bitmap only.
 CARRIED = 1024
+#: Tokens of the texts of a component that are met at once; a larger component is split.
+MET = 2 << 20
 
 
 class Shingler:
@@ -368,21 +373,8 @@ def _signatures(sets: DataFrame) -> DataFrame:
     return sets.select("_class", "_tokens").mapInArrow(go, "_class long, _set array<long>, _bits binary")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id, n_shingles, component_id (the least id that links reach).
-
-    Texts link when the Jaccard similarity of their sets of word 5-grams is LEAST hundredths or
-    more; a text of fewer words is one gram. Texts without words have empty sets, link to
-    nothing and are their own component. Null texts count as empty. Null ids are reached, but
-    never name a component unless it has no other. Repeated rows are equal texts and so one
-    component. Other columns are ignored."""
-    spark = docs.sparkSession
-    space = Workspace(spark, "ngram")
-    base = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text")).withColumn("_class", F.xxhash64("_text"))
-    volume = base.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    n_buckets = 1 << max(LEAST_BUCKETS, -(-volume // BUCKET)).bit_length() - 1
-    classes = space.save(_classes(_shared(packed(base, n_buckets), n_buckets)), "classes")
-    sets = classes.filter("_tokens IS NOT NULL")
+def _roots(sets: DataFrame, space: Workspace) -> DataFrame:
+    """_v, root: the component of every class that links to another; root itself has no row."""
     prefix = sets.select("_class", "_size", F.explode(F.slice("_tokens", F.lit(1), (F.size("_tokens") - needed(F.col("_size")) + 1).cast("int"))).alias("_key"))
     keys = space.save(prefix, "keys")
     # Round one: each block's texts meet its pivots.
@@ -409,13 +401,133 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = blocks.withColumn("_o", other).withColumn("_i", F.least("_part", "_o")).withColumn("_j", F.greatest("_part", "_o"))
     blocks = blocks.join(_signatures(sets), "_class").select("_key", "_i", "_j", "_part", "_class", "_size", "_set", "_bits", "_root")
     more = space.save(confirmed(_tree_pairs(blocks).distinct(), sets), "rest")
-    roots = components(edges.union(more), space, "last").withColumnRenamed("v", "_v")
-    out = base.select("_id", "_class").join(classes.select(F.col("_class").alias("_c"), "_size"), F.col("_class") == F.col("_c"))
-    out = out.join(roots, F.col("_class") == F.col("_v"), "left").select("_id", "_size", F.coalesce("root", "_class").alias("_root"))
-    name = out.groupBy("_root").agg(F.min("_id").alias("_name")).withColumnRenamed("_root", "_r")
-    out = out.join(name, F.col("_root") == F.col("_r"))
-    return out.select(F.col("_id").alias(id_col), F.col("_size").alias("n_shingles"), F.when(F.col("_size") == 0, F.col("_id")).otherwise(F.col("_name")).alias("component_id"))
+    return components(edges.union(more), space, "last").withColumnRenamed("v", "_v")
+
+
+def _met(rows: DataFrame, pairs: bool) -> DataFrame:
+    """Of all pairs of a component's texts those that are similar: _class and _links, the copies of its partners met here, or the pairs a, b.
+
+    rows: _at, _parts, _i, _j, _root, _part, _class, _size, _copies, _tokens. Texts are compared in
+    order of size, each with the range of sizes that can be similar."""
+
+    def go(group):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        cls, root, part, size, copies = (group.column(c).to_numpy() for c in ("_class", "_root", "_part", "_size", "_copies"))
+        sets = group.column("_tokens").combine_chunks()
+        n = pc.list_value_length(sets).to_numpy().astype(np.int64)
+        flat, begin, links = pc.list_flatten(sets).to_numpy(), np.cumsum(n) - n, np.zeros(len(cls), np.int64)
+        i, j = group.column("_i")[0].as_py(), group.column("_j")[0].as_py()
+        order, a, b = np.lexsort((size, root)), [], []
+        cut = np.flatnonzero(np.concatenate([[True], root[order][1:] != root[order][:-1], [True]]))
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            own = order[lo:hi]
+            left, right = (own, own) if i == j else (own[part[own] == i], own[part[own] == j])
+            if not len(left) or not len(right):
+                continue
+            ends = np.cumsum(n[own])
+            ids = np.unique(flat[np.repeat(begin[own] - (ends - n[own]), n[own]) + np.arange(ends[-1])], return_inverse=True)[1]
+            holds, of = np.zeros(ids.max() + 1, bool), dict(zip(own.tolist(), (ends - n[own]).tolist(), strict=True))
+            met = ids if i == j else np.concatenate([ids[of[y] : of[y] + n[y]] for y in right.tolist()])
+            at, sizes = np.concatenate([[0], np.cumsum(n[right])]), size[right]
+            first = np.searchsorted(100 * sizes, LEAST * size[left])
+            last = np.searchsorted(LEAST * sizes, 100 * size[left], "right")
+            if i == j:
+                first = np.arange(1, len(own) + 1)
+            for k, x in enumerate(left.tolist()):
+                if first[k] >= last[k]:
+                    continue
+                y, mine = right[first[k] : last[k]], ids[of[x] : of[x] + n[x]]
+                holds[mine] = True
+                both = np.add.reduceat(holds[met[at[first[k]] : at[last[k]]]].view(np.int8), at[first[k] : last[k]] - at[first[k]], dtype=np.int64)
+                holds[mine] = False
+                y = y[100 * both >= LEAST * (size[x] + size[y] - both)]
+                if pairs:
+                    a.append(np.full(len(y), cls[x]))
+                    b.append(cls[y])
+                else:
+                    links[x] += copies[y].sum()
+                    links[y] += copies[x]
+        give_back()
+        if pairs:
+            a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (a, b))
+            return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+        return pa.table({"_class": cls[links > 0], "_links": links[links > 0]})
+
+    return rows.groupBy("_at", "_parts", "_i", "_j").applyInArrow(go, "a long, b long" if pairs else "_class long, _links long")
+
+
+class Joined:
+    """The classes of equal texts of docs and their components."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+        self.id_col, self.space = id_col, Workspace(docs.sparkSession, "ngram")
+        self.base = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text")).withColumn("_class", F.xxhash64("_text"))
+        volume = self.base.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+        self.n_buckets = 1 << max(LEAST_BUCKETS, -(-volume // BUCKET)).bit_length() - 1
+        self.classes = self.space.save(_classes(_shared(packed(self.base, self.n_buckets), self.n_buckets)), "classes")
+        self.sets = self.classes.filter("_tokens IS NOT NULL")
+        self.roots = _roots(self.sets, self.space)
+        self.copies = self.base.groupBy("_class").agg(F.count(F.lit(1)).alias("_copies"))
+
+    def met(self, pairs: bool) -> DataFrame:
+        """The links of different texts: counts or pairs, see _met. Every two parts of a component meet in one task; small components share tasks."""
+        own = self.sets.select("_class", F.size("_tokens").alias("_t")).join(self.roots, F.col("_class") == F.col("_v"), "left").select("_class", "_t", F.coalesce("root", "_class").alias("_root"))
+        parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("_t") / MET)).cast("int")
+        groups = own.groupBy(F.col("_root").alias("_r")).agg(parts.alias("_parts"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+        own = own.join(groups, F.col("_root") == F.col("_r"))
+        own = own.withColumn("_at", F.when(F.col("_parts") > 1, F.col("_root")).otherwise(F.pmod(F.xxhash64("_root"), F.lit(self.n_buckets))))
+        own = own.withColumn("_part", F.pmod(F.xxhash64("_class"), F.col("_parts")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        own = own.withColumn("_i", F.least("_part", "_o")).withColumn("_j", F.greatest("_part", "_o"))
+        own = own.join(self.copies.withColumnRenamed("_class", "_c"), F.col("_class") == F.col("_c")).select("_at", "_parts", "_i", "_j", "_root", "_part", "_class", "_copies")
+        return self.space.save(_met(own.join(self.sets, "_class"), pairs), "pairs" if pairs else "links")
+
+    def named(self, links: bool) -> DataFrame:
+        """The rows of docs with their components, and the numbers of their links if asked for."""
+        of = self.classes.select(F.col("_class").alias("_c"), "_size")
+        if links:
+            others = self.met(pairs=False).groupBy(F.col("_class").alias("_k")).agg(F.sum("_links").alias("_links"))
+            of = of.join(others, F.col("_c") == F.col("_k"), "left").join(self.copies, F.col("_c") == F.col("_class"))
+            count = F.when(F.col("_size") == 0, 0).otherwise(F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1)
+            of = of.select("_c", "_size", count.cast("long").alias("n_links"))
+        more = ["n_links"] if links else []
+        out = self.base.select("_id", "_class").join(of, F.col("_class") == F.col("_c"))
+        out = out.join(self.roots, F.col("_class") == F.col("_v"), "left").select("_id", "_size", *more, F.coalesce("root", "_class").alias("_root"))
+        name = out.groupBy("_root").agg(F.min("_id").alias("_name")).withColumnRenamed("_root", "_r")
+        out = out.join(name, F.col("_root") == F.col("_r"))
+        return out.select(F.col("_id").alias(self.id_col), F.col("_size").alias("n_shingles"), F.when(F.col("_size") == 0, F.col("_id")).otherwise(F.col("_name")).alias("component_id"), *more)
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: id, n_shingles, component_id (the least id that links reach).
+
+    Texts link when the Jaccard similarity of their sets of word 5-grams is LEAST hundredths or
+    more; a text of fewer words is one gram. Texts without words have empty sets, link to
+    nothing and are their own component. Null texts count as empty. Null ids are reached, but
+    never name a component unless it has no other. Repeated rows are equal texts and so one
+    component. Other columns are ignored."""
+    return Joined(docs, id_col, text_col).named(links=False)
+
+
+def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of similar_groups with n_links: how many other rows of docs are similar to the row.
+
+    Rows of equal text link to each other and count one by one; a text without words has no
+    links. Nothing is left out: a group of n copies or near copies gives each of them n - 1."""
+    return Joined(docs, id_col, text_col).named(links=True)
+
+
+def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """a, b: the ids of every two rows of different texts that are similar, each pair once.
+
+    There are as many as the links between different texts; equal texts, whose number grows with
+    the square of their copies, are those that exact_dedup groups."""
+    j = Joined(docs, id_col, text_col)
+    side = lambda x: j.base.select(F.col("_class").alias(f"_{x}"), F.col("_id").alias(x))
+    return j.met(pairs=True).toDF("_a", "_b").join(side("a"), "_a").join(side("b"), "_b").select("a", "b")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return similar_groups(table(spark, sf_dir, "documents"))
+    return similar_links(table(spark, sf_dir, "documents"))

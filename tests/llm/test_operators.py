@@ -247,6 +247,24 @@ def test_ngram_join(spark, docs, texts, monkeypatch, carried):
     assert got == brute_components(rows)
 
 
+def brute_set(t):
+    w = WORD.findall((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_ngram_links(spark, texts, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rows = [*list(texts.items())[:60], *near_copies(40, 6, 1), *near_copies(30, 20, 2), (7001, "A b\tc D e"), (7002, "a B c d E"), (7003, "a b"), (7004, ""), (7005, "")]
+    rows += [(8000 + k, t) for k, (_, t) in enumerate(rows[60:64])]
+    frame, sets = spark.createDataFrame(rows, "doc_id long, text string"), {i: brute_set(t) for i, t in rows}
+    want = {frozenset((a, b)) for a in sets for b in sets if b < a and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    count = Counter(i for x in want for i in x)
+    assert {r["doc_id"]: r["n_links"] for r in ngram_join.similar_links(frame).collect()} == {i: count[i] for i in sets}
+    text, got = dict(rows), [frozenset(r) for r in ngram_join.similar_pairs(frame).collect()]
+    assert len(got) == len(set(got)) and set(got) == {x for x in want if len({text[i] for i in x}) == 2}
+
+
 def test_dual_traversal_loses_no_pair():
     import numpy as np
 
