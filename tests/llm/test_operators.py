@@ -334,6 +334,25 @@ def test_licenses(spark):
     assert out == {1: ("MIT", 1, "MIT"), 2: (None, 1, "Apache-2.0"), 3: (None, 0, ""), 4: (None, 0, "")}
 
 
+def test_license_forms(spark):
+    import os
+
+    isc = next(t for n, t in license_scan.KNOWN if n == "ISC")
+    want = {
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the GNU General Public License v3.0": "GPL-3.0-only",
+        "Distributed under the Apache License v2.0": "Apache-2.0", "# Licensed under the LGPL, version 2.1 or later": "LGPL-2.1-or-later", "SPDX-License-Identifier: AGPL-3.0-only": "AGPL-3.0-only", isc: "ISC",
+        "Licensed under the GNU General Public License, version 35.": "", "Licensed for fun.": "",
+    }
+    rows = [(k, f"x\n{t}\ny") for k, t in enumerate(want)]
+    got = {r["doc_id"]: r["notices"] for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(rows))] == [*want.values()]
+    files = {n: f for n, f in (("GPL-3.0", "GPL-3"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")) if os.path.exists(f"/usr/share/common-licenses/{f}")}
+    whole = [(n, open(f"/usr/share/common-licenses/{f}").read()) for n, f in files.items()]
+    if whole:
+        got = license_scan.license_scan(spark.createDataFrame(whole, "doc_id string, text string")).collect()
+        assert {r["doc_id"]: r["license"] for r in got} == {n: n for n in files}
+
+
 @pytest.mark.parametrize("name", ["op8_license_scan", "op10_exact_dedup"])
 def test_against_sql(spark, name):
     import duckdb
