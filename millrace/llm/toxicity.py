@@ -9,7 +9,11 @@ The neighbours vote with their cosines, each label weighing what the sample took
 logistic curve fitted on leave-one-out votes turns the vote into a probability.
 
 Scoring is one scan without a shuffle. What each task gets is the index, whose size is bounded
-by the parameters POSITIVE, NEGATIVE and TERMS and not by the data.
+by the parameters POSITIVE and NEGATIVE and not by the data.
+
+The terms are all words that tell the labels apart by more than chance, however many; equal and
+nearly equal examples of a label count once in that. Words without evidence are left out on
+purpose: with all words of the sample in the index the neighbours follow language and topic.
 """
 
 from __future__ import annotations
@@ -25,8 +29,10 @@ from ._common import give_back, per_text, table, whole
 
 #: The bound of the fitted sample: examples of each label, the first by hash of their id.
 POSITIVE, NEGATIVE = 2000, 4000
-#: Terms of the index, examples of a block, and voting neighbours.
-TERMS, BLOCK, NEAREST = 96, 32, 15
+#: Examples of a block, and voting neighbours.
+BLOCK, NEAREST = 32, 15
+#: Examples of one label whose sets of words have this Jaccard similarity, in hundredths, count once as evidence.
+ALIKE = 75
 #: So many of the best terms count even without evidence beyond chance.
 LEAST = 8
 #: A text with at least this score is predicted toxic.
@@ -159,6 +165,32 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 4 == 2, F.lit(False))
 
 
+def distinct_examples(sets) -> list:
+    """Of (id, label, array of distinct word hashes) the ids that no earlier one taken of the label is alike to.
+
+    Only sets that share one of their least words can be (prefix filter, exact), and only taken
+    ones are compared with, so a group of copies of any size costs little."""
+    import numpy as np
+
+    taken, index = [], {}
+    for i, y, words in sets:
+        words = np.sort(np.asarray(words, np.int64))
+        n = len(words)
+        prefix = [(y, w) for w in words[: n - -(-ALIKE * n // 100) + 1].tolist()] or [(y, None)]
+        for k in dict.fromkeys(k for w in prefix for k in index.get(w, ())):
+            other = taken[k][1]
+            if 100 * min(n, len(other)) < ALIKE * max(n, len(other)):
+                continue
+            both = len(np.intersect1d(words, other, assume_unique=True))
+            if 100 * both >= ALIKE * (n + len(other) - both):
+                break
+        else:
+            for w in prefix:
+                index.setdefault(w, []).append(len(taken))
+            taken.append((i, words))
+    return [i for i, _ in taken]
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from the rows of labels that aren't held out; of several labels of one id the highest counts."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("_y"))
@@ -173,17 +205,25 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     terms = terms.persist()
     n = Counter(r["_y"] for r in sample)
     weight = tuple(total.get(y, 0) / n[y] if n[y] else 1.0 for y in (0, 1))
+    # Copies count once; the driver holds the bounded sample's word hashes.
+    sets = terms.groupBy("_id", "_y").agg(F.collect_list(F.xxhash64("_term")).alias("_w")).orderBy(F.xxhash64("_id"), "_id")
+    worded: set = set()
+    ids = set(distinct_examples((r["_id"], r["_y"], worded.add(r["_id"]) or r["_w"]) for r in sets.toLocalIterator()))
+    lone = Counter(r["_y"] for r in sample if r["_id"] in ids)
+    lone.update({r["_y"] for r in sample if r["_id"] not in worded})  # texts without words are equal
+    single = spark.createDataFrame([(r["_id"],) for r in sample if r["_id"] in ids], known.select("_id").schema)
     a, b = F.sum("_y"), F.count(F.lit(1)) - F.sum("_y")
-    # Log-likelihood ratio of a term's presence by label; terms of fewer than 4 examples are left out.
-    per = terms.groupBy("_term").agg(a.alias("a"), b.alias("b")).filter("a + b >= 4")
+    # Log-likelihood ratio of a term's presence by label.
+    per = terms.join(F.broadcast(single), "_id").groupBy("_term").agg(a.alias("a"), b.alias("b"))
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
-    one, zero, both = F.lit(float(n[1] or 1)), F.lit(float(n[0] or 1)), F.lit(float((n[0] + n[1]) or 1))
+    one, zero, both = F.lit(float(lone[1])), F.lit(float(lone[0])), F.lit(float((lone[0] + lone[1]) or 1))
     seen = F.col("a") + F.col("b")
     ratio = part(F.col("a"), seen * one / both) + part(F.col("b"), seen * zero / both) + part(one - F.col("a"), (both - seen) * one / both) + part(zero - F.col("b"), (both - seen) * zero / both)
-    ranked = per.withColumn("_g", F.round(ratio, 9)).orderBy(F.desc("_g"), "_term").limit(TERMS).collect()
-    # With so many terms to choose from, this much would be expected of about one by chance.
-    chance = math.log(max(1, per.count()))
-    best = [r["_term"] for k, r in enumerate(ranked) if r["_g"] >= chance or k < LEAST]
+    ranked = per.withColumn("_g", F.round(ratio, 9))
+    # With so many terms (of 4 texts or more) to choose from, this much would be expected of about one by chance.
+    chance = math.log(max(1, per.filter("a + b >= 4").count()))
+    best = [r["_term"] for r in ranked.orderBy(F.desc("_g"), "_term").limit(LEAST).collect()]
+    best += [r["_term"] for r in ranked.filter(F.col("_g") >= chance).orderBy(F.desc("_g"), "_term").collect() if r["_term"] not in best[:LEAST]]
     counts: dict[object, dict[str, int]] = {r["_id"]: {} for r in sample}
     for r in terms.filter(F.col("_term").isin(best)).select("_id", "_term", "_n").collect() if best else []:
         counts[r["_id"]][r["_term"]] = r["_n"]

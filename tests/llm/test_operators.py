@@ -133,6 +133,17 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
+def test_toxicity_copies_count_once(spark):
+    random.seed(8)
+    prose, bad, hot = [f"p{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(400)], ["vile", "foul", "nasty", "rotten", "cursed"], [f"h{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(195)]
+    text = lambda *more: " ".join([*random.sample(prose, 30), *more])
+    rows = [(k, text(bad[k % 5]), 1) for k in range(60)] + [(100 + k, " ".join(["slur", *random.sample(hot, 190)]), 1) for k in range(80)] + [(1000 + k, text(), 0) for k in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(frame.drop("toxic"), frame.drop("text"))
+    assert set(bad) <= set(model.vocabulary) and not set(hot) & set(model.vocabulary)
+    assert all(model.score(text(w))[0] > toxicity.LIMIT > model.score(text())[0] for w in bad)
+
+
 def test_mixing_targets(spark, docs):
     out = mixing.mix(docs)
     rows = out.join(docs.select("doc_id", "source"), "doc_id").collect()
