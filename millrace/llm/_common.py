@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: The white space of the data contracts, U+0020 and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
+#: Bytes of an Arrow batch; hashes of text that may be shared by different texts (of 5e10 texts about 70 are).
+BATCH, CLASHES = 2 << 20, 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +50,12 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB, unless the session already asks for less: a row is a whole text, and ten thousand of them are no batch."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH + 1))) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 class Workspace:
     """Tables that cut lineage: written once to the shared folder and read from there.
 
@@ -55,6 +63,7 @@ class Workspace:
     fixed set of rows even if tasks are run again."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark, self.root = spark, f"{shared_folder(spark)}/millrace-{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -69,6 +78,26 @@ class Workspace:
             path.getFileSystem(conf).delete(path, True)
 
 
+def text_classes(base: DataFrame, text_col: str, space: Workspace) -> tuple[DataFrame, DataFrame]:
+    """base with _class, a number for each distinct text, and a table with a row for each class:
+    _class, _copies, _bytes, and _least, the least _id of its rows.
+
+    The number is a 64-bit hash of the text. Where a second hash shows that different texts share
+    it, both make the number. Partial aggregation leaves one row of a text for each task."""
+    hashes = F.xxhash64(text_col), F.xxhash64(F.lit("second"), text_col)
+    known = space.save(
+        base.groupBy(hashes[0].alias("_h"), hashes[1].alias("_v")).agg(F.count(F.lit(1)).alias("_copies"), F.max(F.octet_length(text_col)).alias("_bytes"), F.min("_id").alias("_least")), "texts"
+    )
+    clash = known.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_h").limit(CLASHES + 1).collect()
+    if len(clash) > CLASHES:
+        raise ValueError(f"more than {CLASHES} hashes are shared by different texts")
+
+    def number(h, v):
+        return F.when(h.isin([r["_h"] for r in clash]), F.xxhash64(h, v)).otherwise(h) if clash else h
+
+    return base.withColumn("_class", number(*hashes)), known.select(number(F.col("_h"), F.col("_v")).alias("_class"), "_copies", "_bytes", "_least")
+
+
 def give_back() -> None:
     """Returns free memory to the system. A worker process lives on after a task, idle or with tasks of other operators."""
     import ctypes
@@ -101,6 +130,7 @@ def per_text(df: DataFrame, id_col: str, text_col: str, make, columns: str, step
             done()
             give_back()
 
+    small_batches(df.sparkSession)
     names = ["_id", *[c.strip().split(" ")[0] for c in columns.split(";")]]
     source = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = source.schema["_id"].dataType.simpleString()

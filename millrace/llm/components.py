@@ -19,6 +19,8 @@ def components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
         return pairs.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).filter("v != m").distinct()
 
     now, seen, k = space.save(linked(edges), f"{name}0"), None, 0
+    if now.isEmpty():
+        return now.select("v", F.col("m").alias("root"))
     while True:
         both = now.select(F.col("v").alias("u"), F.col("m").alias("n")).union(now.select(F.col("m").alias("u"), F.col("v").alias("n")))
         least = both.groupBy("u").agg(F.min("n").alias("x")).select(F.col("u").alias("_u"), F.least("u", "x").alias("_m"))
@@ -33,3 +35,15 @@ def components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
             return now.select("v", F.col("m").alias("root"))
         seen = mark
         space.drop(f"{name}{k - 1}")
+
+
+def further(roots: DataFrame | None, edges: DataFrame, space: Workspace, name: str) -> DataFrame:
+    """v, root after more edges. Only the roots that the new edges join meet again, so a later call costs as its new links and not as all."""
+    if roots is None:
+        return components(edges, space, name)
+    end = lambda x: roots.select(F.col("v").alias(f"_v{x}"), F.col("root").alias(f"_r{x}"))
+    met = edges.join(end("a"), F.col("a") == F.col("_va"), "left").join(end("b"), F.col("b") == F.col("_vb"), "left")
+    new = components(met.select(F.coalesce("_ra", "a").alias("a"), F.coalesce("_rb", "b").alias("b")), space, name)
+    to = new.select(F.col("v").alias("_w"), F.col("root").alias("_to"))
+    moved = roots.join(to, F.col("root") == F.col("_w"), "left").select("v", F.coalesce("_to", "root").alias("root"))
+    return space.save(moved.union(new), f"{name}all")

@@ -1,8 +1,9 @@
 """Exact n-gram Jaccard join with signature trees.
 
-1. Tokens are hashes of word 5-grams. Every task packs the tokens of its distinct texts into a
-   few binary rows for each bucket of the token space; a bucket finds which tokens more than one
-   text holds and sends only those back. A text that shares fewer than 3/4 of its tokens with
+1. Tokens are hashes of word 5-grams. Every task packs the tokens of its distinct texts into
+   binary rows for the buckets of the token space (exchange.py); a bucket finds which tokens more
+   than one text holds and sends only those back. What several texts of a task hold is settled
+   there and travels on once, so a common token is no hot key. A text that shares fewer than 3/4 of its tokens with
    anything can't have a partner. So common passages alone, however frequent, lead nowhere.
 2. Of the remaining texts those that share a token of their prefix can be similar (prefix filter
    at 3/4, exact). The texts of each such block first meet a pivot, and the links that the
@@ -18,7 +19,7 @@
    component's texts come together once and not once for each prefix token, each pair is compared
    in one task, and what leaves a task is a count for each text.
 
-Exact copies are one class from the start. A block of more than BLOCK texts is split, and the
+Exact copies are one class from the start, verified by a second hash. A block of more than BLOCK texts is split, and the
 parts meet pairwise in tasks of their own. Tokens are 48 bits within a bucket of the token
 space, so two texts of a thousand tokens agree by accident in a token once in 10^8 or more.
 """
@@ -28,17 +29,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Workspace, give_back, table, whole
-from .components import components
+from . import exchange
+from ._common import Workspace, give_back, table, text_classes, whole
+from .components import further
 
 #: Words of an n-gram, and the least similarity in hundredths.
 WORDS, LEAST = 5, 75
 #: Bytes of text for a bucket of the token space, and buckets at least; pivots of a block that is spread over keys, and turns of pivots.
-BUCKET, LEAST_BUCKETS, PIVOTS, TURNS = 16 << 20, 64, 4, 2
+BUCKET, LEAST_BUCKETS, PIVOTS, TURNS = 8 << 20, 64, 4, 2
 #: Node pairs of a traversal looked at together.
 SLICE = 8192
-#: Tokens that a task packs at once, bits of a signature, texts of a tree, children of a node.
-PACK, BITS, BLOCK, FAN = 350_000, 8192, 2048, 8
+#: Tokens that a task packs at once, bytes of a token within its bucket, bits of a signature, texts of a tree, children of a node.
+PACK, WIDTH, BITS, BLOCK, FAN = 350_000, 6, 8192, 768, 8
 #: Shared tokens up to which a text carries its set into its blocks; a longer one carries its bitmap only.
 CARRIED = 1024
 #: Tokens of the texts of a component that are met at once; a larger component is split.
@@ -79,47 +81,86 @@ class Shingler:
         return np.unique(out)
 
 
-def packed(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """bucket, run: for texts of a task (each class once) the tokens that fall into the bucket.
+def _parts(cls, size, tok, bits: int):
+    """home, part: of classes at their home buckets. A part is: d class keys, set sizes (0 where not known here) and counts of tokens; the tokens, eight bytes each.
+
+    cls and size have a row for each class, tok the sorted (place in cls, token) arrays."""
+    import numpy as np
+
+    of, token = tok
+    to = cls & np.int64((1 << bits) - 1)
+    lo, hi = np.searchsorted(of, np.arange(len(cls))), np.searchsorted(of, np.arange(len(cls)), "right")
+    order = np.argsort(to, kind="stable")
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(to[order])) + 1, [len(order)]]) if len(order) else []
+    homes, parts = [], []
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        own = order[a:b]
+        homes.append(int(to[own[0]]))
+        tokens = np.concatenate([token[lo[k] : hi[k]] for k in own])
+        parts.append(np.int64(len(own)).tobytes() + cls[own].tobytes() + size[own].astype("<u4").tobytes() + (hi - lo)[own].astype("<u4").tobytes() + tokens.astype("<i8").tobytes())
+    return homes, parts
+
+
+def _collapsed(cls, tok):
+    """sent, shared: entries that must travel, one of each token, and entries whose token another class here holds too. cls and tok have no pair twice."""
+    import numpy as np
+
+    order = np.argsort(tok, kind="stable")
+    new = np.ones(len(tok), bool)
+    new[1:] = tok[order][1:] != tok[order][:-1]
+    of = np.cumsum(new) - 1
+    sent, shared = np.zeros(len(tok), bool), np.zeros(len(tok), bool)
+    sent[order[new]] = True
+    shared[order[np.bincount(of)[of] > 1]] = True
+    return sent, shared
+
+
+def _token(tok, bits: int):
+    """A token as texts keep it: the bits that buckets compare."""
+    import numpy as np
+
+    return (tok & np.uint64((1 << min(64, 48 + bits)) - 1)).view(np.int64)
+
+
+def _again(bits: int):
+    """Packs entries that have met in a round: a token of several classes travels on once."""
+
+    def go(cls, tok, _, resolved: int):
+        import numpy as np
+
+        order = np.lexsort((tok, cls))
+        cls, tok = cls[order], tok[order]
+        new = np.ones(len(cls), bool)
+        new[1:] = (cls[1:] != cls[:-1]) | (tok[1:] != tok[:-1])
+        cls, tok = cls[new], tok[new]
+        sent, shared = _collapsed(cls, tok)
+        own, of = np.unique(cls[shared], return_inverse=True)
+        return exchange.batch(exchange.pack(cls[sent], tok[sent], [], bits, resolved, WIDTH), _parts(own, np.zeros(len(own), np.int64), (of, _token(tok[shared], bits)), bits))
+
+    return go
 
-    A run is: the number of classes d and of classes at home h; d class keys and counts of tokens
-    (at most 65535, else the class comes again); h class keys and set sizes; the tokens, six bytes
-    each. A class is at home in the bucket of its own key, so its size travels once."""
+
+def packed(docs: DataFrame, bits: int) -> DataFrame:
+    """kind, bucket, run: for texts of a task (each class once) the tokens that fall into the bucket (kind 0), and the sizes of their sets at home (kind 1).
+
+    A token that several texts of one flush hold is shared for certain: the texts get it in their
+    parts at once, and it travels on as one text's. So a token that a third of all texts hold
+    meets in its bucket as one entry for each flush."""
 
     def go(batches):
         import numpy as np
-        import pyarrow as pa
 
         shingler, seen, held, count = Shingler(), set(), [], 0
-        bits = n_buckets.bit_length() - 1
 
         def flush():
             key = np.array([c for c, _ in held], np.int64)
             size = np.array([len(t) for _, t in held], np.int64)
             doc = np.repeat(np.arange(len(held)), size)
             tok = np.concatenate([t for _, t in held])
-            home = (key & (n_buckets - 1)).astype(np.int64)
-            at = (tok & np.uint64(n_buckets - 1)).astype(np.int64)
-            tok = (tok >> np.uint64(bits)) & np.uint64((1 << 48) - 1)
-            order = np.lexsort((doc, at))
-            at, doc, tok = at[order], doc[order], tok[order]
-            raw = np.ascontiguousarray(tok).view(np.uint8).reshape(-1, 8)[:, :6]
-            ends = np.searchsorted(at, np.arange(n_buckets + 1))
-            runs = []
-            for b in range(n_buckets):
-                lo, hi = ends[b], ends[b + 1]
-                own, n = np.unique(doc[lo:hi], return_counts=True)
-                times = -(-n // 65535)
-                left = n - 65535 * (times - 1)
-                last = np.cumsum(times) - 1
-                counts = np.full(int(times.sum()), 65535, "<u2")
-                counts[last] = left
-                keys, here = np.repeat(key[own], times), np.flatnonzero(home == b)
-                runs.append(np.array([len(keys), len(here)], np.int64).tobytes() + keys.tobytes() + counts.tobytes() + key[here].tobytes() + size[here].astype("<u4").tobytes() + raw[lo:hi].tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(range(n_buckets), pa.int32()), pa.array(runs, pa.binary())], names=["bucket", "run"])
+            sent, shared = _collapsed(doc, tok)
+            return exchange.batch(exchange.pack(key[doc[sent]], tok[sent], [], bits, min(bits, exchange.TURN), WIDTH), _parts(key, size, (doc[shared], _token(tok[shared], bits)), bits))
 
         for batch in batches:
-            give_back()
             for c, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if c in seen:
                     continue
@@ -129,69 +170,42 @@ def packed(docs: DataFrame, n_buckets: int) -> DataFrame:
                 if count >= PACK:
                     yield flush()
                     held, count = [], 0
+                    give_back()
         if held:
             yield flush()
         shingler.known.clear()
         held.clear()
         give_back()
 
-    return docs.select("_class", "_text").mapInArrow(go, "bucket int, run binary")
+    return docs.select("_class", "_text").mapInArrow(go, exchange.SCHEMA)
 
 
-def _shared(runs: DataFrame, n_buckets: int) -> DataFrame:
-    """home, part: of each bucket the classes' tokens that another class holds too, packed by home.
-
-    A part is: d class keys, set sizes (0 but from home) and counts; the tokens, eight bytes each."""
+def _shared(runs: DataFrame, bits: int) -> DataFrame:
+    """home, part: of each bucket the classes' tokens that another class holds too, packed by home, and what came for the homes before."""
 
     def go(group):
         import numpy as np
         import pyarrow as pa
 
-        bucket, parts = group.column("bucket")[0].as_py(), []
-        for run in group.column("run"):
-            raw = run.as_buffer()
-            d, h = (int(x) for x in np.frombuffer(raw, "<i8", 2))
-            key, n = np.frombuffer(raw, "<i8", d, 16), np.frombuffer(raw, "<u2", d, 16 + 8 * d)
-            at = 16 + 10 * d
-            mine, size = np.frombuffer(raw, "<i8", h, at), np.frombuffer(raw, "<u4", h, at + 8 * h)
-            at += 12 * h
-            tok = np.zeros((int(n.sum()), 8), np.uint8)
-            if len(tok):
-                tok[:, :6] = np.frombuffer(raw, np.uint8, -1, at).reshape(-1, 6)
-            parts.append((np.repeat(key, n), tok.view("<i8").reshape(-1), mine, size))
-        cls, tok, mine, size = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        parts.clear()
+        if group.column("kind")[0].as_py():
+            return pa.table({"home": group.column("bucket"), "part": group.column("run")})
+        cls, tok = exchange.unpack(group.column("run"), group.column("bucket")[0].as_py(), (), bits, WIDTH)
         order = np.lexsort((cls, tok))
         cls, tok = cls[order], tok[order]
         del order
-        if len(tok):
-            new = np.ones(len(tok), bool)
-            new[1:] = (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])  # a class that several tasks had
-            cls, tok = cls[new], tok[new]
-            of = np.cumsum(np.concatenate([[True], tok[1:] != tok[:-1]])) - 1
-            common = np.bincount(of)[of] > 1
-            cls, tok = cls[common], (tok[common] << np.int64(n_buckets.bit_length() - 1)) | np.int64(bucket)
-        mine, first = np.unique(mine, return_index=True)
-        size = size[first]
-        key = np.unique(np.concatenate([cls, mine]))
-        order = np.argsort(cls, kind="stable")
-        cls, tok = cls[order], tok[order]
-        lo, hi = np.searchsorted(cls, key), np.searchsorted(cls, key, "right")
-        sizes = np.zeros(len(key), np.int64)
-        sizes[np.searchsorted(key, mine)] = size
-        to, homes, out = key & (n_buckets - 1), [], []
-        order = np.argsort(to, kind="stable")
-        ends = np.searchsorted(to[order], np.arange(n_buckets + 1))
-        for b in range(n_buckets):
-            own = order[ends[b] : ends[b + 1]]
-            if len(own):
-                homes.append(b)
-                tokens = np.concatenate([tok[lo[k] : hi[k]] for k in own])
-                out.append(np.int64(len(own)).tobytes() + key[own].tobytes() + sizes[own].astype("<u4").tobytes() + (hi - lo)[own].astype("<u4").tobytes() + tokens.tobytes())
+        new = np.ones(len(tok), bool)
+        new[1:] = (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])  # a class that several tasks had
+        cls, tok = cls[new], tok[new]
+        of = np.cumsum(np.concatenate([[True], tok[1:] != tok[:-1]])) - 1
+        common = np.bincount(of)[of] > 1
+        cls, tok = cls[common], tok[common]
+        key, of = np.unique(cls, return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        homes, parts = _parts(key, np.zeros(len(key), np.int64), (of[order], _token(tok[order], bits)), bits)
         give_back()
-        return pa.table({"home": pa.array(homes, pa.int32()), "part": pa.array(out, pa.binary())})
+        return pa.table({"home": pa.array(homes, pa.int32()), "part": pa.array(parts, pa.binary())})
 
-    return runs.groupBy("bucket").applyInArrow(go, "home int, part binary")
+    return runs.groupBy("kind", "bucket").applyInArrow(go, "home int, part binary")
 
 
 def _classes(parts: DataFrame) -> DataFrame:
@@ -211,9 +225,12 @@ def _classes(parts: DataFrame) -> DataFrame:
         found.clear()
         order = np.lexsort((tok, cls))
         cls, tok = cls[order], tok[order]
+        new = np.ones(len(cls), bool)
+        new[1:] = (cls[1:] != cls[:-1]) | (tok[1:] != tok[:-1])  # known from several places
+        cls, tok = cls[new], tok[new]
         order = np.lexsort((size, key))
         key, size = key[order], size[order].astype(np.int64)
-        last = np.concatenate([key[1:] != key[:-1], [True]])  # the size from home is the largest
+        last = np.concatenate([key[1:] != key[:-1], [True]])  # the known size is the largest
         key, size = key[last], size[last]
         lo = np.searchsorted(cls, key)
         n = np.searchsorted(cls, key, "right") - lo
@@ -378,7 +395,7 @@ def _roots(sets: DataFrame, space: Workspace) -> DataFrame:
     prefix = sets.select("_class", "_size", F.explode(F.slice("_tokens", F.lit(1), (F.size("_tokens") - needed(F.col("_size")) + 1).cast("int"))).alias("_key"))
     keys = space.save(prefix, "keys")
     # Round one: each block's texts meet its pivots.
-    edges, roots = None, None
+    known, roots = None, None
     for turn in range(TURNS):
         now = keys if roots is None else keys.join(roots, F.col("_class") == F.col("_v"), "left").withColumn("_root", F.coalesce("root", "_class")).drop("_v", "root")
         rank = F.xxhash64("_class", F.pmod("_key", F.lit(PIVOTS)), F.lit(turn))
@@ -387,9 +404,8 @@ def _roots(sets: DataFrame, space: Workspace) -> DataFrame:
         met = now.join(pivot, F.col("_key") == F.col("_k")).filter(f"_class != _pivot AND 100 * _size >= {LEAST} * _m AND 100 * _m >= {LEAST} * _size")
         met = met if roots is None else met.filter("_root != _l")
         pairs = met.select(F.greatest("_class", "_pivot").alias("a"), F.least("_class", "_pivot").alias("b")).distinct()
-        found = space.save(confirmed(pairs, sets), f"edges{turn}")
-        edges = found if edges is None else edges.union(found)
-        roots = components(edges, space, f"turn{turn}_").withColumnRenamed("v", "_v")
+        known = further(known, space.save(confirmed(pairs, sets), f"edges{turn}"), space, f"turn{turn}_")
+        roots = known.withColumnRenamed("v", "_v")
     # Round two: blocks that are not one component yet.
     labelled = keys.join(roots, F.col("_class") == F.col("_v"), "left").select("_key", "_class", "_size", F.coalesce("root", "_class").alias("_root"))
     labelled = space.save(labelled, "labelled")
@@ -401,7 +417,7 @@ def _roots(sets: DataFrame, space: Workspace) -> DataFrame:
     blocks = blocks.withColumn("_o", other).withColumn("_i", F.least("_part", "_o")).withColumn("_j", F.greatest("_part", "_o"))
     blocks = blocks.join(_signatures(sets), "_class").select("_key", "_i", "_j", "_part", "_class", "_size", "_set", "_bits", "_root")
     more = space.save(confirmed(_tree_pairs(blocks).distinct(), sets), "rest")
-    return components(edges.union(more), space, "last").withColumnRenamed("v", "_v")
+    return further(known, more, space, "last").withColumnRenamed("v", "_v")
 
 
 def _met(rows: DataFrame, pairs: bool) -> DataFrame:
@@ -464,13 +480,16 @@ class Joined:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str):
         self.id_col, self.space = id_col, Workspace(docs.sparkSession, "ngram")
-        self.base = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text")).withColumn("_class", F.xxhash64("_text"))
-        volume = self.base.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-        self.n_buckets = 1 << max(LEAST_BUCKETS, -(-volume // BUCKET)).bit_length() - 1
-        self.classes = self.space.save(_classes(_shared(packed(self.base, self.n_buckets), self.n_buckets)), "classes")
+        base = docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text"))
+        self.base, self.texts = text_classes(base, "_text", self.space)
+        volume = self.texts.agg(F.sum("_bytes")).first()[0] or 0
+        bits = exchange.bits_for(volume, BUCKET, LEAST_BUCKETS)
+        self.n_buckets = 1 << bits
+        runs = exchange.resolved_runs(packed(self.base, bits), bits, volume, self.space, _again(bits))
+        self.classes = self.space.save(_classes(_shared(runs, bits)), "classes")
         self.sets = self.classes.filter("_tokens IS NOT NULL")
         self.roots = _roots(self.sets, self.space)
-        self.copies = self.base.groupBy("_class").agg(F.count(F.lit(1)).alias("_copies"))
+        self.copies = self.texts.select("_class", "_copies")
 
     def met(self, pairs: bool) -> DataFrame:
         """The links of different texts: counts or pairs, see _met. Every two parts of a component meet in one task; small components share tasks."""
@@ -486,17 +505,18 @@ class Joined:
 
     def named(self, links: bool) -> DataFrame:
         """The rows of docs with their components, and the numbers of their links if asked for."""
-        of = self.classes.select(F.col("_class").alias("_c"), "_size")
+        of = self.classes.select(F.col("_class").alias("_c"), "_size").join(self.texts, F.col("_c") == F.col("_class")).drop("_class", "_bytes")
         if links:
             others = self.met(pairs=False).groupBy(F.col("_class").alias("_k")).agg(F.sum("_links").alias("_links"))
-            of = of.join(others, F.col("_c") == F.col("_k"), "left").join(self.copies, F.col("_c") == F.col("_class"))
             count = F.when(F.col("_size") == 0, 0).otherwise(F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1)
-            of = of.select("_c", "_size", count.cast("long").alias("n_links"))
+            of = of.join(others, F.col("_c") == F.col("_k"), "left").withColumn("n_links", count.cast("long"))
         more = ["n_links"] if links else []
-        out = self.base.select("_id", "_class").join(of, F.col("_class") == F.col("_c"))
-        out = out.join(self.roots, F.col("_class") == F.col("_v"), "left").select("_id", "_size", *more, F.coalesce("root", "_class").alias("_root"))
-        name = out.groupBy("_root").agg(F.min("_id").alias("_name")).withColumnRenamed("_root", "_r")
-        out = out.join(name, F.col("_root") == F.col("_r"))
+        of = of.join(self.roots, F.col("_c") == F.col("_v"), "left").select("_c", "_size", "_least", *more, F.coalesce("root", "_c").alias("_root"))
+        of = self.space.save(of, "rooted")
+        name = self.space.save(of.groupBy(F.col("_root").alias("_r")).agg(F.min("_least").alias("_name")), "names")
+        # Written first, so that nothing but a join stands above the exchange of a hot class or component, and adaptive execution can split it.
+        named = self.space.save(of.join(name, F.col("_root") == F.col("_r")).select("_c", "_size", "_name", *more), "named")
+        out = self.base.select("_id", "_class").join(named, F.col("_class") == F.col("_c"))
         return out.select(F.col("_id").alias(self.id_col), F.col("_size").alias("n_shingles"), F.when(F.col("_size") == 0, F.col("_id")).otherwise(F.col("_name")).alias("component_id"), *more)
 
 
