@@ -8,10 +8,12 @@ rows of a source stay undecided in a group; they meet again in ever fewer groups
 last two of a source are landed, together with a few of its rows of all sizes, on the choice whose words
 come nearest.
 
-Rows go to groups by a hash of their id and text, and every draw is seeded by the group, so the
-result doesn't depend on how the input is partitioned. A source that holds a third of all rows
-is spread over all groups like any other. What is shuffled are an id and a few numbers for each
-row; the undecided rows are at most two for each source and group.
+Repeated rows are counted first and flown as one, with the sum of their expectations; what they
+get is dealt out evenly. Rows go to groups by a hash of their id and text, and every draw is
+seeded by the group, so the result doesn't depend on how the input is partitioned. A source that
+holds a third of all rows is spread over all groups like any other, and so is a row that is
+repeated as often. What is shuffled are an id and a few numbers for each row; the undecided rows
+are at most two for each source and group.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ def source_targets(rows: DataFrame, weights: Sequence[int], most: int) -> DataFr
     times the source's size; the excess goes to the others by weight. With the sources in order
     of cap / weight the capped ones come first, so running sums give the level of the rest. The
     windows run over one row for each source."""
-    per = rows.groupBy("_source").agg(F.sum("_size").alias("_source_size"))
+    per = rows.groupBy("_source").agg(F.sum(F.col("_size") * F.col("_rows")).alias("_source_size"))
     place = F.row_number().over(Window.orderBy(F.col("_source").asc_nulls_last())) - 1
     per = per.withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int")))
     per = per.withColumn("_cap", most * F.col("_source_size"))
@@ -120,22 +122,27 @@ def _fly(rows: DataFrame, group: str, seed: int, last: bool) -> DataFrame:
     return rows.groupBy(group).applyInPandas(one, schema)
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each row of docs: id, size (its words), source_size, target (of its source), copies, taken, _hash.
+def row_hash(id_col: str, text_col: str):
+    """What repeated rows have in common."""
+    return F.xxhash64(F.col(id_col), whole(text_col))
 
-    Sizes of null and empty texts are 0. A null source is a source of its own, the last in order.
-    Where nothing has a size every target is 0 and nothing is taken. Of repeated rows some may be
-    taken more often than others. Other columns of docs are ignored. _hash is xxhash64 of id and
-    text, by which a caller can find the row again."""
+
+def dealt(copies, rows, nth):
+    """Of the copies of ``rows`` repeated rows what the nth (from 0) gets."""
+    return F.floor(copies / rows).cast("long") + F.when(nth < copies % rows, 1).otherwise(0)
+
+
+def mix_distinct(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row for rows of docs that have id, source and text in common: _id, _source, _hash, _size, _rows
+    (how many they are), _source_size, _target, _copies (of all together, at most ``most`` for each)."""
     space = Workspace(docs.sparkSession, "mix")
     text = whole(text_col)
-    rows = space.save(
-        docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.size(words(text)).cast("long").alias("_size"), F.xxhash64(F.col(id_col), text).alias("_hash")), "sizes"
-    )
+    each = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.size(words(text)).cast("long").alias("_size"), row_hash(id_col, text_col).alias("_hash"))
+    rows = space.save(each.groupBy("_id", "_source", "_size", "_hash").agg(F.count(F.lit(1)).alias("_rows")), "sizes")
     n = rows.count()
     groups = max(1, -(-n // GROUP))
     targets = source_targets(rows, weights, most)
-    ratio = F.when(F.col("_source_size") > 0, F.least(F.lit(float(most)), F.col("_target") / F.col("_source_size"))).otherwise(0.0)
+    ratio = F.when(F.col("_source_size") > 0, F.least(F.lit(float(most)), F.col("_target") / F.col("_source_size"))).otherwise(0.0) * F.col("_rows")
     rows = rows.join(targets, F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")
     rows = rows.withColumn("_base", F.floor(ratio).cast("long")).withColumn("_p", ratio - F.floor(ratio)).withColumn("_group", F.pmod("_hash", F.lit(groups)))
     done, level = None, 0
@@ -149,11 +156,21 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed
         rows = rows.filter(open_).withColumn("_group", F.floor(F.col("_group") / MEET)).withColumn("_meet", F.struct("_group", "_source"))
         level += 1
     rows = rows if done is None else done.unionByName(rows, allowMissingColumns=True)
-    copies = F.col("_base") + F.round("_p").cast("long")
-    return rows.select(
-        F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), copies.alias("copies"), (copies * F.col("_size")).alias("taken"), "_hash"
-    )
+    space.drop("sizes")
+    return rows.select("_id", "_source", "_hash", "_size", "_rows", "_source_size", "_target", (F.col("_base") + F.round("_p").cast("long")).alias("_copies"))
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row for each row of docs: id, size (its words), source_size, target (of its source), copies, taken.
+
+    Sizes of null and empty texts are 0. A null source is a source of its own, the last in order.
+    Where nothing has a size every target is 0 and nothing is taken. The copies of repeated rows
+    are dealt evenly among them. Other columns of docs are ignored."""
+    rows = mix_distinct(docs, weights, most, seed, id_col, text_col, source_col)
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rows") - 1)).alias("_nth"))
+    copies = dealt(F.col("_copies"), F.col("_rows"), F.col("_nth"))
+    return rows.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), copies.alias("copies"), (copies * F.col("_size")).alias("taken"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("_hash")
+    return mix(table(spark, sf_dir, "documents"))
