@@ -70,12 +70,20 @@ class Workspace:
         df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def _files(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing reads any more."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            path, fs = self._files(f"{self.root}/{name}")
+            fs.delete(path, True)
+
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but these, the ones that a result still reads."""
+        path, fs = self._files(self.root)
+        self.drop(*[n for x in fs.listStatus(path) if (n := x.getPath().getName()) not in names])
 
 
 def text_classes(base: DataFrame, text_col: str, space: Workspace) -> tuple[DataFrame, DataFrame]:

@@ -49,16 +49,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     space = Workspace(docs.sparkSession, "exact")
     base = space.save(chunked(docs, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()), "chunked")
     parts = base.select("_row", F.posexplode("_parts").alias("_at", "_part")).select("_row", "_at", "_part.h", "_part.v")
-    ids = identifiers(parts)
+    ids = space.save(identifiers(parts), "identifiers")
     lists = parts.join(ids, ["h", "v"]).groupBy("_row").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "ident"))), lambda x: x["ident"]).alias("_recipe"))
     rows = space.save(
         base.drop("_parts").join(lists, "_row", "left").withColumn("_recipe", F.coalesce("_recipe", F.array().cast("array<bigint>"))).withColumn("_key", F.xxhash64("_recipe")),
         "recipes",
     )
-    space.drop("chunked")
+    space.drop("chunked", "identifiers")
     best = F.struct(-F.col("_chars"), F.col("_id").isNull(), F.col("_id"), F.col("_row"))
     groups = rows.groupBy("_key", "_recipe").agg(F.count(F.lit(1)).alias("group_size"), F.min(best).alias("_best"))
     groups = groups.select(F.col("_key").alias("_k"), F.col("_recipe").alias("_r"), "group_size", F.col("_best._id").alias("keep_id"), F.col("_best._row").alias("_keep"))
+    # Written, so that nothing but the join stands above the exchange of a hot recipe, and adaptive execution can split it.
+    groups = space.save(groups, "groups")
     return rows.join(groups, (F.col("_key") == F.col("_k")) & (F.col("_recipe") == F.col("_r"))).select(
         F.col("_id").alias(id_col), "keep_id", "group_size", (F.col("_row") == F.col("_keep")).alias("kept"), F.col("_sha").alias("text_sha256"), F.size("_recipe").alias("n_chunks")
     )

@@ -516,6 +516,7 @@ class Joined:
         name = self.space.save(of.groupBy(F.col("_root").alias("_r")).agg(F.min("_least").alias("_name")), "names")
         # Written first, so that nothing but a join stands above the exchange of a hot class or component, and adaptive execution can split it.
         named = self.space.save(of.join(name, F.col("_root") == F.col("_r")).select("_c", "_size", "_name", *more), "named")
+        self.space.keep("named")
         out = self.base.select("_id", "_class").join(named, F.col("_class") == F.col("_c"))
         return out.select(F.col("_id").alias(self.id_col), F.col("_size").alias("n_shingles"), F.when(F.col("_size") == 0, F.col("_id")).otherwise(F.col("_name")).alias("component_id"), *more)
 

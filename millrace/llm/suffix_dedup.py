@@ -6,8 +6,9 @@ loses nothing:
 
 1. Every window of LENGTH bytes has an anchor: of its substrings of GRAM bytes the one with the
    least hash, the leftmost of equals. Equal windows have equal anchors at equal offsets, so a
-   window can only be repeated if its anchor's gram is. Hashes of grams are exchanged, one for
-   each anchor; only the stretches of text around repeated grams go on.
+   window can only be repeated if its anchor's gram is. The anchors of the shorter windows of
+   PASSAGE bytes hold those of the long ones; their hashes are exchanged, and only the stretches
+   of text around repeated grams go on.
 2. The suffixes at those anchors, to LENGTH bytes, are sorted in runs, equal ones of a run
    collapsed. Runs are cut at sampled splitters and exchanged front-coded: each suffix is the
    length of the prefix it shares with the one before, and the rest. A loser tree merges them;
@@ -18,8 +19,9 @@ loses nothing:
    of all occurrences are exchanged as 64-bit hashes with their positions.
 
 Hashes are 64 bits, so two different windows agree with a chance of about n^2 / 2^65. Equal
-texts count as one in all steps and are removed whole. Common passages, however frequent, meet
-in a task as 13 bytes for each text and anchor, or as one suffix for each run.
+texts, verified by a second hash, count as one in all steps and are removed whole. What a task
+itself holds twice is settled there, and one of it travels on: a passage that a third of all
+texts hold meets as one entry, or one suffix, for each flush of a task.
 """
 
 from __future__ import annotations
@@ -29,12 +31,13 @@ from bisect import bisect_right
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Workspace, table, whole
+from . import exchange
+from ._common import Workspace, table, text_classes, whole
 
-#: Bytes of a repeated string and of a gram; windows looked at together; suffixes of a run; entries packed at once; splitter sample.
-LENGTH, GRAM, CHUNK, RUN, PACK, SAMPLE = 400, 240, 1 << 18, 30_000, 300_000, 4096
+#: Bytes of a repeated string, of a gram, and of a passage that shares a gram for certain; windows looked at together; suffixes of a run; entries packed at once; different suffixes of a range, bytes of a splitter, and how many suffixes are looked at for the splitters: for each range, and at least.
+LENGTH, GRAM, PASSAGE, CHUNK, RUN, PACK, RANGE, SPLITTER, SAMPLE, LEAST_SAMPLE = 400, 160, 288, 1 << 18, 30_000, 300_000, 200_000, 24, 8, 4096
 #: Bytes of text for a bucket of hashes, and buckets at least.
-BUCKET, LEAST_BUCKETS = 32 << 20, 32
+BUCKET, LEAST_BUCKETS = 16 << 20, 32
 
 
 def sliced(batches, rows: int = 128):
@@ -69,16 +72,16 @@ class Hasher:
         h *= np.uint64(0xBF58476D1CE4E5B9)
         return h ^ (h >> np.uint64(29))
 
-    def segments(self, data: bytes):
+    def segments(self, data: bytes, window: int = LENGTH):
         """anchor, first, last, hash: for windows first to last the anchor is one, and hash that of its gram."""
         import numpy as np
 
         raw, out = np.frombuffer(data, np.uint8), []
-        for at in range(0, len(raw) - LENGTH + 1, CHUNK):
-            part = raw[at : at + CHUNK + LENGTH - 1]
+        for at in range(0, len(raw) - window + 1, CHUNK):
+            part = raw[at : at + CHUNK + window - 1]
             h = self.hashes(self.sums(part), GRAM)
             low = (h & ~np.uint64((1 << 24) - 1)) | np.arange(len(h), dtype=np.uint64)
-            width, step = LENGTH - GRAM + 1, 1
+            width, step = window - GRAM + 1, 1
             while step * 2 <= width:
                 low = np.minimum(low[:-step], low[step:])
                 step *= 2
@@ -91,85 +94,109 @@ class Hasher:
         return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 4
 
 
+def _settled(cls, h, pos):
+    """Entries in order of hash, each once; sent: one of each hash, the first; met: those whose hash is at another place here; across: in another class."""
+    import numpy as np
+
+    order = np.lexsort((pos, cls, h))
+    cls, h, pos = cls[order], h[order], pos[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (cls[1:] != cls[:-1]) | (pos[1:] != pos[:-1])  # a class that several tasks had
+    cls, h, pos = cls[new], h[new], pos[new]
+    sent = np.ones(len(h), bool)
+    sent[1:] = h[1:] != h[:-1]
+    first = np.flatnonzero(sent)
+    count = np.diff(np.append(first, len(h)))
+    across = cls[first] != cls[first + count - 1] if len(first) else np.empty(0, bool)
+    return cls, h, pos, sent, np.repeat(count > 1, count), np.repeat(across, count)
+
+
+def _places(cls, pos, across):
+    """_class, _at, _across: positions by class, and how many of them are of strings that other texts hold."""
+    import numpy as np
+    import pyarrow as pa
+
+    order = np.lexsort((pos, cls))
+    cls, pos, across = cls[order], pos[order].astype(np.int32), across[order]
+    key, first = np.unique(cls, return_index=True)
+    offsets = np.concatenate([first, [len(cls)]]).astype(np.int32)
+    sums = np.concatenate([[0], np.cumsum(across.astype(np.int64))])
+    return pa.table({"_class": pa.array(key), "_at": pa.ListArray.from_arrays(pa.array(offsets), pa.array(pos)), "_across": pa.array(sums[offsets[1:]] - sums[offsets[:-1]])})
+
+
+def _batch(cls, h, pos, bits: int, resolved: int):
+    """Packed rows of entries (hash, position): what is met here is settled (kind 1), and one entry of each hash goes on to its bucket."""
+    import numpy as np
+
+    cls, h, pos, sent, met, across = _settled(cls, h, pos)
+    done = ([], [])
+    if met.any():
+        order = np.argsort(cls[met], kind="stable")
+        c = cls[met][order]
+        done = [int(c[0]) & 0x3FFFFFFF], exchange.pack(c, pos[met][order].astype(np.uint64), [across[met][order].astype(np.uint8)], 0, 0)[1]
+    cls, h, pos = cls[sent], h[sent], pos[sent]
+    order = np.argsort(cls, kind="stable")
+    return exchange.batch(exchange.pack(cls[order], h[order].view(np.uint64), [pos[order].astype("<u4")], bits, resolved), done)
+
+
 class Packer:
-    """Collects (hash, position, flag) by text and packs them by bucket of the hash."""
+    """Collects (hash, position) by text."""
 
-    def __init__(self, n_buckets: int):
-        self.n, self.held, self.size = n_buckets, [], 0
+    def __init__(self, bits: int):
+        self.bits, self.held, self.size = bits, [], 0
 
-    def add(self, key: int, h, pos, flag) -> None:
-        self.held.append((key, h, pos, flag))
+    def add(self, key: int, h, pos) -> None:
+        self.held.append((key, h, pos))
         self.size += len(h) + 1
 
     def flush(self):
         import numpy as np
-        import pyarrow as pa
 
-        doc = np.repeat(np.arange(len(self.held)), [len(x[1]) for x in self.held])
-        keys = np.array([x[0] for x in self.held], np.int64)
-        h, pos, flag = (np.concatenate([x[k] for x in self.held]) for k in (1, 2, 3))
-        bucket = (h.view(np.uint64) % np.uint64(self.n)).astype(np.int64)
-        order = np.lexsort((doc, bucket))
-        ends, runs = np.searchsorted(bucket[order], np.arange(self.n + 1)), []
-        for b in range(self.n):
-            part = order[ends[b] : ends[b + 1]]
-            own, count = np.unique(doc[part], return_counts=True)
-            runs.append(np.int64(len(own)).tobytes() + keys[own].tobytes() + count.astype("<u4").tobytes() + h[part].tobytes() + pos[part].astype("<u4").tobytes() + flag[part].astype(np.uint8).tobytes())
+        cls = np.repeat(np.array([x[0] for x in self.held], np.int64), [len(x[1]) for x in self.held])
+        h, pos = (np.concatenate([x[k] for x in self.held]) for k in (1, 2))
         self.held, self.size = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(range(self.n), pa.int32()), pa.array(runs, pa.binary())], names=["bucket", "run"])
+        return _batch(cls, h, pos.astype(np.int64), self.bits, min(self.bits, exchange.TURN))
 
 
-def meeting(packed: DataFrame) -> DataFrame:
-    """_class, _at: of each text the positions whose hash occurs at another place too, where any of these is flagged."""
+def meeting(packed: DataFrame, bits: int, volume: int, space: Workspace) -> DataFrame:
+    """_class, _at, _across: of each text the positions whose hash occurs at another place too; _across is above 0 where another text holds one."""
 
-    def go(group):
+    def again(cls, h, extras, resolved):
         import numpy as np
-        import pyarrow as pa
 
-        parts = []
-        for run in group.column("run"):
-            raw = run.as_buffer()
-            d = int(np.frombuffer(raw, "<i8", 1)[0])
-            key, n = np.frombuffer(raw, "<i8", d, 8), np.frombuffer(raw, "<u4", d, 8 + 8 * d)
-            total, at = int(n.sum()), 8 + 12 * d
-            parts.append((np.repeat(key, n), np.frombuffer(raw, "<i8", total, at), np.frombuffer(raw, "<u4", total, at + 8 * total), np.frombuffer(raw, np.uint8, total, at + 12 * total)))
-        cls, h, pos, flag = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        order = np.lexsort((flag, pos, cls, h))
-        cls, h, pos, flag = cls[order], h[order], pos[order], flag[order]
-        last = np.ones(len(h), bool)  # of equal entries the last, which is the flagged one if any is
-        last[:-1] = (h[1:] != h[:-1]) | (cls[1:] != cls[:-1]) | (pos[1:] != pos[:-1])
-        cls, h, pos, flag = cls[last], h[last], pos[last], flag[last]
-        of = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1 if len(h) else np.empty(0, np.int64)
-        keep = (np.bincount(of)[of] > 1) & (np.bincount(of, flag)[of] > 0) if len(h) else np.empty(0, bool)
-        cls, pos = cls[keep], pos[keep]
-        order = np.lexsort((pos, cls))
-        cls, pos = cls[order], pos[order].astype(np.int32)
-        key, first = np.unique(cls, return_index=True)
-        offsets = np.concatenate([first, [len(cls)]]).astype(np.int32)
-        return pa.table({"_class": pa.array(key), "_at": pa.ListArray.from_arrays(pa.array(offsets), pa.array(pos))})
-
-    found = packed.groupBy("bucket").applyInArrow(go, "_class long, _at array<int>")
-    return found.groupBy("_class").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("_at")))).alias("_at"))
-
-
-def _grams(texts: DataFrame, n_buckets: int) -> DataFrame:
-    def go(batches):
+        return _batch(cls, h.view(np.int64), extras[0].astype(np.int64), bits, resolved)
+
+    def go(group):
         import numpy as np
 
-        hasher, packer, seen = Hasher(), Packer(n_buckets), set()
+        if group.column("kind")[0].as_py():
+            cls, pos, across = exchange.unpack(group.column("run"), 0, ("u1",), 0)
+            return _places(cls, pos.astype(np.int64), across)
+        cls, h, pos = exchange.unpack(group.column("run"), 0, ("<u4",), bits)
+        cls, _, pos, _, met, across = _settled(cls, h, pos)
+        return _places(cls[met], pos[met], across[met])
+
+    runs = exchange.resolved_runs(packed, bits, volume, space, again, ("<u4",), PACK)
+    found = runs.groupBy("kind", "bucket").applyInArrow(go, "_class long, _at array<int>, _across long")
+    return found.groupBy("_class").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("_at")))).alias("_at"), F.sum("_across").alias("_across"))
+
+
+def _grams(texts: DataFrame, bits: int) -> DataFrame:
+    def go(batches):
+        hasher, packer, seen = Hasher(), Packer(bits), set()
         for batch in sliced(batches):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if key in seen:
                     continue
                 seen.add(key)
-                anchor, _, _, h = hasher.segments(text.as_py())
-                packer.add(key, h, anchor, np.ones(len(h), np.uint8))
+                anchor, _, _, h = hasher.segments(text.as_py(), PASSAGE)
+                packer.add(key, h, anchor)
                 if packer.size >= PACK:
                     yield packer.flush()
         if packer.held:
             yield packer.flush()
 
-    return texts.select("_class", "_bytes").mapInArrow(go, "bucket int, run binary")
+    return texts.select("_class", "_bytes").mapInArrow(go, exchange.SCHEMA)
 
 
 _REGION = "_class long, _from int, _data binary, _anchor array<int>, _first array<int>, _last array<int>, _hash array<long>"
@@ -283,7 +310,7 @@ def merged(runs: list):
 
 def _runs(regions: DataFrame, splitters: list[bytes]) -> DataFrame:
     """range, run: front-coded sorted suffixes at anchors. Of equal ones of a run the first stays,
-    flagged; the rest are repeated for certain and come as range -1."""
+    flagged; the rest are repeated for certain and come under a negative number, any other for each run."""
 
     def go(batches):
         import pyarrow as pa
@@ -302,7 +329,7 @@ def _runs(regions: DataFrame, splitters: list[bytes]) -> DataFrame:
                 out.setdefault(bisect_right(splitters, s), []).append((s, key, pos, int(len(twins) > 1)))
                 sure += [(b"", c, p, 1) for c, p in twins[1:]]
                 k = j
-            rows = [(r, FrontCoded.encode(x)) for r, x in out.items()] + ([(-1, FrontCoded.encode(sure))] if sure else [])
+            rows = [(r, FrontCoded.encode(x)) for r, x in out.items()] + ([(-1 - (sure[0][1] & 0x3FFFFFFF), FrontCoded.encode(sure))] if sure else [])
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["range", "run"])
 
@@ -344,50 +371,56 @@ def _repeated(runs: DataFrame) -> DataFrame:
     return runs.groupBy("range").applyInArrow(go, "_class long, _pos int").groupBy("_class").agg(F.sort_array(F.collect_set("_pos")).alias("_at"))
 
 
-def _sample(regions: DataFrame) -> list[bytes]:
-    """Beginnings of at most SAMPLE suffixes, chosen by the hash of their gram."""
+def _splitters(regions: DataFrame, least: int) -> list[bytes]:
+    """Beginnings of suffixes that cut all of them into ranges of about RANGE different ones, ``least`` ranges at least.
+
+    Suffixes are chosen by the hash of their gram, of equal grams one, at a rate that gives about
+    SAMPLE for each range: the driver sees SAMPLE * SPLITTER bytes for RANGE suffixes of LENGTH bytes."""
+    total = regions.select(F.explode("_hash").alias("_h")).agg(F.approx_count_distinct("_h").alias("n")).first()["n"]
+    n = max(least, -(-total // RANGE))
+    rate = max(1, total // max(SAMPLE * n, LEAST_SAMPLE))
 
     def go(batches):
         import pyarrow as pa
 
         for batch in sliced(batches):
-            rows = [(h, data[a : a + 48]) for data, anchors, hs in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) for a, h in zip(anchors, hs, strict=True) if h % 64 == 0]
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())], names=["h", "s"])
+            rows = {h: data[a : a + SPLITTER] for data, anchors, hs in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) for a, h in zip(anchors, hs, strict=True) if h % rate == 0}
+            yield pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.int64()), pa.array(rows.values(), pa.binary())], names=["h", "s"])
 
-    found = regions.select("_data", "_anchor", "_hash").mapInArrow(go, "h long, s binary").orderBy("h", "s").limit(SAMPLE)
-    return sorted({bytes(r["s"]) for r in found.collect()})
+    rows = regions.select("_data", "_anchor", "_hash").mapInArrow(go, "h long, s binary").groupBy("h").agg(F.min("s").alias("s"))
+    sample = sorted({bytes(r["s"]) for r in rows.toLocalIterator()})
+    return sorted({sample[k * len(sample) // n] for k in range(1, n)}) if sample else []
 
 
-def _undecided(regions: DataFrame, n_buckets: int) -> DataFrame:
-    """Grams of all anchors, flagged where their windows aren't enclosed by repeated ones. regions: with _at, the repeated positions."""
+def _ends(regions: DataFrame) -> DataFrame:
+    """_class, _pos, _hash, _flag: all anchors, flagged where their windows aren't enclosed by repeated ones. regions: with _at, the repeated positions."""
 
     def go(batches):
         import numpy as np
+        import pyarrow as pa
 
-        packer = Packer(n_buckets)
         for batch in sliced(batches):
+            out = []
             for row in batch.to_pylist():
                 known = np.array(row["_at"] or [], np.int64) - row["_from"]
                 anchor, first, last, h = (np.array(row[c], np.int64) for c in ("_anchor", "_first", "_last", "_hash"))
                 far = np.int64(1 << 40)
                 k = np.concatenate([[-far], known, [far]])
                 before, after = k[np.searchsorted(k, first, "right") - 1], k[np.searchsorted(k, last)]
-                packer.add(row["_class"], h, anchor + row["_from"], (after - before > LENGTH).astype(np.uint8))
-                if packer.size >= PACK:
-                    yield packer.flush()
-        if packer.held:
-            yield packer.flush()
+                out.append((np.full(len(h), row["_class"]), (anchor + row["_from"]).astype(np.int32), h, after - before > LENGTH))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in range(4)], names=["_class", "_pos", "_hash", "_flag"])
 
-    return regions.drop("_data").mapInArrow(go, "bucket int, run binary")
+    return regions.drop("_data").mapInArrow(go, "_class long, _pos int, _hash long, _flag boolean")
 
 
-def _windows(regions: DataFrame, n_buckets: int) -> DataFrame:
+def _windows(regions: DataFrame, bits: int) -> DataFrame:
     """Hashes of the windows of anchors at _at."""
 
     def go(batches):
         import numpy as np
 
-        hasher, packer = Hasher(), Packer(n_buckets)
+        hasher, packer = Hasher(), Packer(bits)
         for batch in sliced(batches):
             for row in batch.to_pylist():
                 anchor, first, last = (np.array(row[c], np.int64) for c in ("_anchor", "_first", "_last"))
@@ -395,13 +428,13 @@ def _windows(regions: DataFrame, n_buckets: int) -> DataFrame:
                 for k in np.flatnonzero(np.isin(anchor + row["_from"], row["_at"])):
                     lo, hi = first[k], last[k]
                     h = hasher.hashes(hasher.sums(raw[lo : hi + LENGTH]), LENGTH).view(np.int64)
-                    packer.add(row["_class"], h, np.arange(lo, hi + 1) + row["_from"], np.ones(len(h), np.uint8))
+                    packer.add(row["_class"], h, np.arange(lo, hi + 1) + row["_from"])
                 if packer.size >= PACK:
                     yield packer.flush()
         if packer.held:
             yield packer.flush()
 
-    return regions.select("_class", "_from", "_data", "_anchor", "_first", "_last", "_at").mapInArrow(go, "bucket int, run binary")
+    return regions.select("_class", "_from", "_data", "_anchor", "_first", "_last", "_at").mapInArrow(go, exchange.SCHEMA)
 
 
 def covered(positions: list[int]) -> list[tuple[int, int]]:
@@ -416,39 +449,43 @@ def covered(positions: list[int]) -> list[tuple[int, int]]:
 
 
 def _cut(rows: DataFrame, kind: str) -> DataFrame:
-    """_id, n_bytes, spans, kept of rows (_id, _bytes, _copies, _at)."""
+    """_id, n_bytes, spans, kept, shared of rows (_id, _bytes, _copies, _at, _across)."""
 
     def go(batches):
         import pyarrow as pa
 
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for part in sliced(batches):
-            n_bytes, spans, kept = [], [], []
-            for data, copies, at in zip(part.column(1), part.column(2).to_pylist(), part.column(3), strict=True):
+            n_bytes, spans, kept, shared = [], [], [], []
+            for data, copies, at, across in zip(part.column(1), part.column(2).to_pylist(), part.column(3), part.column(4).to_pylist(), strict=True):
                 data = data.as_py()
                 found = [(0, len(data))] if copies > 1 and len(data) >= LENGTH else covered(at.as_py() or [])
                 ends = [0, *[x for s in found for x in s], len(data)]
                 n_bytes.append(len(data))
                 spans.append([{"start": a, "end": b} for a, b in found])
                 kept.append(b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_bytes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["_id", "n_bytes", "spans", "kept"])
+                shared.append(max(across or 0, int(copies > 1 and len(data) >= GRAM)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_bytes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()), pa.array(shared, pa.int64())], names=["_id", "n_bytes", "spans", "kept", "shared"])
 
-    return rows.select("_id", "_bytes", "_copies", "_at").mapInArrow(go, f"_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return rows.select("_id", "_bytes", "_copies", "_at", "_across").mapInArrow(go, f"_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, shared long")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id, n_bytes, spans (removed runs of bytes, end exclusive), kept (the other bytes).
+    """One row for each row of docs: id, n_bytes, spans (removed runs of bytes, end exclusive), kept
+    (the other bytes), shared (content-defined strings of GRAM bytes that other rows hold too).
 
     Null texts count as empty; texts of fewer than LENGTH bytes keep everything. Equal texts of
     at least LENGTH bytes repeat each other whole, and so do repeated rows. Strings are judged on
-    the input, not on what is left, so no occurrence stays. Other columns are ignored."""
+    the input, not on what is left, so no occurrence stays. shared removes nothing; it is above 0
+    in every text that has a passage of PASSAGE bytes with another one, which may be too short to
+    be removed, and counts some but not always all of their common strings. Other columns are ignored."""
     spark = docs.sparkSession
     space = Workspace(spark, "suffix")
-    base = docs.select(F.col(id_col).alias("_id"), whole(text_col).cast("binary").alias("_bytes")).withColumn("_class", F.xxhash64("_bytes"))
-    volume = base.agg(F.sum(F.octet_length("_bytes"))).first()[0] or 0
-    n_buckets = 1 << max(LEAST_BUCKETS, -(-volume // BUCKET)).bit_length() - 1
-    long_ = base.filter(F.octet_length("_bytes") >= LENGTH)
-    anchors = space.save(meeting(_grams(long_, n_buckets)), "anchors")
+    base = docs.select(F.col(id_col).alias("_id"), whole(text_col).cast("binary").alias("_bytes"))
+    base, known_texts = text_classes(base, "_bytes", space)
+    volume = known_texts.agg(F.sum("_bytes")).first()[0] or 0
+    bits = exchange.bits_for(volume, BUCKET, LEAST_BUCKETS)
+    anchors = space.save(meeting(_grams(base.filter(F.octet_length("_bytes") >= PASSAGE), bits), bits, volume, space), "anchors")
 
     def first_of_task(batches):
         import pyarrow as pa
@@ -461,21 +498,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 seen.add(key)
             yield batch.filter(pa.array(new, pa.bool_()))
 
-    texts = long_.select("_class", "_bytes").mapInArrow(first_of_task, "_class long, _bytes binary")
+    texts = base.filter(F.octet_length("_bytes") >= LENGTH).select("_class", "_bytes").mapInArrow(first_of_task, "_class long, _bytes binary")
     regions = space.save(_regions(texts.join(anchors, "_class")), "regions")
-    sample, n = _sample(regions), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    splitters = sorted({sample[k * len(sample) // n] for k in range(1, n)}) if sample else []
+    splitters = _splitters(regions, int(spark.conf.get("spark.sql.shuffle.partitions")))
     known = space.save(_repeated(_runs(regions, splitters)), "known")
-    open_ = space.save(meeting(_undecided(regions.join(known, "_class", "left"), n_buckets)), "open")
-    more = space.save(meeting(_windows(regions.join(open_, "_class"), n_buckets)), "more")
-    space.drop("anchors", "regions", "open")
+    ends = space.save(_ends(regions.join(known, "_class", "left")), "ends")
+    open_ = ends.join(ends.filter("_flag").select("_hash").distinct(), "_hash", "left_semi").groupBy("_class").agg(F.sort_array(F.collect_set("_pos")).alias("_at"))
+    more = space.save(meeting(_windows(regions.join(open_, "_class"), bits), bits, volume, space), "more").select("_class", "_at")
     both = known.union(more).groupBy("_class").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("_at")))).alias("_at"))
-    copies = base.groupBy("_class").agg(F.count(F.lit(1)).alias("_copies"))
-    per = copies.join(both, "_class", "left").withColumnRenamed("_class", "_c")
+    per = known_texts.select("_class", "_copies").join(both, "_class", "left").join(anchors.select("_class", "_across"), "_class", "left").withColumnRenamed("_class", "_c")
+    # Written, so that nothing but the join stands above the exchange of a hot class, and adaptive execution can split it.
+    per = space.save(per, "spans")
+    space.keep("spans")
     return _cut(base.join(per, F.col("_class") == F.col("_c")), base.schema["_id"].dataType.simpleString()).withColumnRenamed("_id", id_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.col("shared").alias("n_shared"))
