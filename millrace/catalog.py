@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from . import dialect as d
 from . import sources
 from .operators import dml, key_condition
-from .operators.shards import SHARD, Shards, pruned, with_shard, write_sharded
+from .operators.shards import LAYOUT, SHARD, Folders, Shards, pruned, with_shard, write_sharded, written
 from .plans.expressions import lower
+from .streaming import journal
+
+#: Appended folders of a table before its rows are written together again.
+MOST_FOLDERS = 32
 
 
 class Catalog:
@@ -22,6 +26,8 @@ class Catalog:
         self.tables: dict[str, DataFrame | None] = {}
         self.indexes: dict[str, dict[str, list[d.Order]]] = {}
         self.shards: dict[str, Shards] = {}
+        self.folders: dict[str, Folders] = {}
+        self.appended: dict[str, int] = {}
 
     # Tables
 
@@ -56,38 +62,92 @@ class Catalog:
 
     # Changes
 
-    def replace(self, name: str, df: DataFrame) -> None:
-        """Writes the next version and then points to it."""
+    def _folder(self, name: str) -> str:
         if self.root is None:
             raise ValueError("a catalog without a root can't change tables")
-        path = f"{self.root}/{name}/{uuid.uuid4().hex}"
+        return f"{self.root}/{name}/{uuid.uuid4().hex}"
+
+    def replace(self, name: str, df: DataFrame) -> None:
+        """Writes the next version and then points to it."""
+        path = self._folder(name)
         if name in self.shards:
-            write_sharded(df.drop(SHARD), self.shards[name], path)
+            write_sharded(df, self.shards[name], path)
+            self._point(name, Folders({path: written(self.spark, path)}), df)
         else:
             df.write.parquet(path)
-        self.tables[name] = self.spark.read.parquet(path)
+            self.tables[name] = self.spark.read.parquet(path)
+        self.appended[name] = 0
+
+    def _point(self, name: str, folders: Folders, like: DataFrame) -> None:
+        """The rows of a sharded table are those of these folders from now on."""
+        self.folders[name] = folders
+        df = folders.read(self.spark)
+        self.tables[name] = with_shard(like.drop(*LAYOUT).limit(0), self.shards[name]) if df is None else df
 
     def insert(self, name: str, rows: DataFrame) -> int:
-        """The number of new rows. They are appended to the current version's rows."""
-        n = rows.count()
-        if n:
-            self.replace(name, dml.inserted(self.table(name).drop(SHARD) if self.tables[name] is not None else None, rows))
+        """The number of new rows. They are written to a folder of their own, beside what the table has; every MOST_FOLDERS times all is written together."""
+        path = self._folder(name)
+        shards, old = self.shards.get(name), self.tables[name]
+        if shards and shards.key not in rows.columns:
+            rows = rows.withColumn(shards.key, F.lit(None).cast("string"))
+        if shards:
+            write_sharded(rows, shards, path)
+        else:
+            rows.write.parquet(path)
+        new = self.spark.read.parquet(path)
+        n = new.count()  # of the written files' footers; rows is evaluated once
+        if not n:
+            return 0
+        if shards and name in self.folders:
+            self._point(name, self.folders[name].added(path, written(self.spark, path)), rows)
+        else:
+            self.tables[name] = dml.inserted(old, new)
+        self.appended[name] = self.appended.get(name, 0) + 1
+        if self.appended[name] >= MOST_FOLDERS:
+            self.replace(name, self.table(name).drop(*LAYOUT))
         return n
 
     bulk_insert = insert
 
     def update(self, name: str, assignments: list[tuple[str, d.Expr]], where: list[d.Expr]) -> int:
-        n = dml.matching(self.visible(name, where), where)
-        if n:
-            self.replace(name, dml.updated(self.table(name), assignments, where))
-        return n
+        return self._change(name, where, lambda df: dml.updated(df, assignments, where))
 
     def delete(self, name: str, where: list[d.Expr]) -> int:
+        return self._change(name, where, lambda df: dml.deleted(df, where))
+
+    def _change(self, name: str, where: list[d.Expr], change) -> int:
+        """Of a sharded table only the shards that the conditions can match are read and written."""
         n = dml.matching(self.visible(name, where), where)
-        if n:
-            self.replace(name, dml.deleted(self.table(name), where))
+        if not n:
+            return 0
+        shards, touched = self.shards.get(name), None
+        if shards and name in self.folders:
+            touched = shards.matching(where)
+        if touched is None:
+            self.replace(name, change(self.table(name).drop(*LAYOUT)))
+        else:
+            self.rewrite(name, touched, change)
         return n
 
+    def rewrite(self, name: str, touched: set[int], change=lambda df: df) -> None:
+        """Writes the rows of these shards, changed, to another folder; the others stay where they are."""
+        path, like = self._folder(name), self.table(name)
+        rows = like.filter(F.col(SHARD).isin(sorted(touched))).drop(*LAYOUT)
+        write_sharded(change(rows), self.shards[name], path)
+        self._point(name, self.folders[name].replaced(touched, path, written(self.spark, path)), like)
+
+    # Change records
+
+    def apply_tx(self, name: str, records: DataFrame, schema) -> None:
+        """The table after change records (lsn, tbl, tid, op, row), of which those of the table count: its rows are those that the records leave."""
+        self.create_table(name, journal.replay(records, name, schema).drop("tid"))
+
+    def recover(self, path: str, schemas: dict[str, object]) -> None:
+        """All tables of a journal, by their names and schemas."""
+        log = journal.read_journal(self.spark, path)
+        for name, schema in schemas.items():
+            self.apply_tx(name, log, schema)
+
     # Indexes
 
     def create_index(self, name: str, index: str, keys: list[d.Order | d.Expr | str]) -> None:
@@ -129,7 +189,36 @@ class Catalog:
             self.tables[name] = with_shard(self.table(name), self.shards[name])
         return self.shards[name]
 
+    def reshard(self, name: str, shard: int, target: int) -> int:
+        """Moves a shard's rows to another replica set and returns their number. A failure leaves rows and map as they were."""
+        shards, moved = self.shards[name], {}
+
+        def work():
+            moved["n"] = self.table(name).filter(F.col(SHARD) == shard).count()
+            if name in self.folders:
+                path, like = self._folder(name), self.table(name)
+                rows = like.filter(F.col(SHARD) == shard).drop(*LAYOUT)
+                write_sharded(rows, Shards(shards.key, shards.count, shards.assignment | {shard: target}), path)
+                self._point(name, self.folders[name].replaced({shard}, path, written(self.spark, path)), like)
+
+        shards.move(shard, target, work)
+        if name not in self.folders:
+            self.tables[name] = with_shard(self.table(name).drop(*LAYOUT), shards)
+        return moved["n"]
+
+    def placement(self, name: str) -> DataFrame:
+        """The rows with the shard and the replica set that hold them."""
+        return self.table(name)
+
     def visible(self, name: str, where: list[d.Expr]) -> DataFrame:
         """The table as a query with these conditions reads it: only the shards that can match."""
         df = self.table(name)
-        return pruned(df, self.shards[name], where).drop(SHARD) if name in self.shards else df
+        return pruned(df, self.shards[name], where).drop(*LAYOUT) if name in self.shards else df
+
+    def backends(self, name: str, where: list[d.Expr]) -> int:
+        """How many replica sets a query with these conditions asks; 0 for a table without shards."""
+        if name not in self.shards:
+            return 0
+        shards = self.shards[name]
+        touched = shards.matching(where)
+        return len(set(shards.assignment.values()) if touched is None else {shards.assignment[s] for s in touched})

@@ -15,7 +15,7 @@ from .catalog import Catalog
 from .errors import NoTableScanError, UnsupportedQueryError
 from .functions import AGGREGATES
 from .plans import access
-from .plans.expressions import lower
+from .plans.expressions import filtered, lower
 from .plans.select import aggregates, select
 
 
@@ -28,7 +28,8 @@ class Engine:
     def query(self, sql: str, *, notablescan: bool = False, stdin: Iterable[str] | None = None, observe: Observation | None = None) -> DataFrame:
         """The result of a query. SELECT is lazy; statements that change tables run at once and return their count.
 
-        observe: gets table_tuples_scanned when the result has been computed."""
+        observe: gets what a SELECT read when the result has been computed: table_tuples_scanned, or
+        index_tuples_fetched where an index serves the query, and backend_requests, the replica sets asked."""
         query = d.parse(sql)
         if query.options.get("explain"):
             return self.spark.createDataFrame([(json.dumps(self.explain(query)),)], "explain string")
@@ -53,7 +54,7 @@ class Engine:
         if isinstance(query, d.Select):
             source = None if query.table is None else cat.visible(query.table, query.where)
             if source is not None and observe is not None:
-                source = source.observe(observe, F.count(F.lit(1)).alias("table_tuples_scanned"))
+                source = self._observed(query, source, observe)
             return select(query, source, self.spark, self.strict)
         if isinstance(query, d.Insert):
             return self._count(self._add(query.table, sources.rows_frame(self.spark, query.keys, [[self._constant(x) for x in row] for row in query.rows])))
@@ -63,8 +64,7 @@ class Engine:
         if isinstance(query, d.ReshardMove):
             if query.table not in cat.shards:
                 raise UnsupportedQueryError(f"{query.table} has no shards")
-            cat.shards[query.table].move(query.shard, query.target)
-            return self._count(cat.table(query.table).filter(F.col("_shard") == query.shard).count() if "_shard" in cat.table(query.table).columns else 0)
+            return self._count(cat.reshard(query.table, query.shard, query.target))
         shards = cat.shards.get(query.table)
         if shards:
             shards.check(shards.matching(query.where))
@@ -74,6 +74,15 @@ class Engine:
             return self._count(cat.update(query.table, query.assignments, query.where))
         return self._count(cat.delete(query.table, query.where))
 
+    def _observed(self, query: d.Select, source: DataFrame, observe: Observation) -> DataFrame:
+        indexes = self.catalog.indexes_for(query.table)
+        path = next(iter(access.paths(indexes, query.where, [] if aggregates(query) else query.order_by)), None)
+        if path is not None:
+            source = filtered(path.covered, source)
+        n, zero = F.count(F.lit(1)), F.lit(0).cast("long")
+        asked = F.max(F.lit(self.catalog.backends(query.table, query.where)).cast("long"))
+        return source.observe(observe, (zero if path else n).alias("table_tuples_scanned"), (n if path else zero).alias("index_tuples_fetched"), F.coalesce(asked, zero).alias("backend_requests"))
+
     def _add(self, name: str, rows: DataFrame) -> int:
         if name in self.catalog.shards:
             self.catalog.shards[name].check(None)

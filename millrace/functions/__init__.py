@@ -80,3 +80,16 @@ def avg(x: Column, kind: T.DataType, strict: bool) -> Column:
 
 
 AGGREGATES: dict[str, Callable[[Column, T.DataType, bool], Column]] = {"count": count, "sum": sum_, "max": max_, "avg": avg}
+
+
+def register_aggregate(name: str, function: Callable[[Column, T.DataType, bool], Column]) -> None:
+    """Adds an aggregate: a column expression of built-in aggregates, so that Catalyst splits it into partial and final steps."""
+    AGGREGATES[name] = function
+
+
+def folded(init: object, reduce: Callable[[Column, Column], Column], render: Callable[[Column], Column], kind: str) -> Callable[[Column, T.DataType, bool], Column]:
+    """An aggregate from a first state, a step (state, value) and a last step, for register_aggregate.
+
+    The values of a group come together in one task, as the steps may depend on all before them:
+    for groups that fit there. The order of values is that of their sort; nulls are skipped."""
+    return lambda x, _, strict: F.aggregate(F.sort_array(F.collect_list(_checked(x, "aggregate", strict))), F.lit(init).cast(kind), reduce, render)

@@ -1,22 +1,27 @@
-"""Hash shards as a data layout: a partition column that a table's key decides.
+"""Hash shards as a data layout: partition columns that a table's key decides.
 
-The shard of a row is crc32 of its key's text, modulo the number of shards. Queries with = or IN
-on the key read only their shards' folders. Which replica set holds a shard is a small map;
-moving a shard changes the map under a lock.
+The shard of a row is crc32 of its key's text, modulo the number of shards, and a small map says
+which replica set holds a shard. A set has folders of its own, with one for each shard. Queries
+with = or IN on the key read only their shards' folders; a change rewrites only the folders of
+the shards that it can touch; moving a shard writes its rows under the other set, with the map
+changed in the same step, under a lock.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dialect as d
 from ..errors import ShardKeyUpdateError, ShardLockedError, UnsupportedQueryError
 from ..functions import hashmod, shard_of
+from . import append
 
-SHARD = "_shard"
+SHARD, SET = "_shard", "_set"
+#: Columns that the layout adds.
+LAYOUT = (SHARD, SET)
 
 
 @dataclass
@@ -69,14 +74,44 @@ class Shards:
 
 
 def with_shard(df: DataFrame, shards: Shards) -> DataFrame:
-    return df.withColumn(SHARD, hashmod(F.col(shards.key), F.lit(shards.count)).cast("int"))
+    """df with the layout's columns."""
+    shard = hashmod(F.col(shards.key), F.lit(shards.count)).cast("int")
+    sets = F.create_map(*[F.lit(x) for pair in sorted(shards.assignment.items()) for x in pair])
+    return df.withColumn(SHARD, shard).withColumn(SET, F.element_at(sets, F.col(SHARD)))
 
 
 def write_sharded(df: DataFrame, shards: Shards, path: str, salts: int = 8) -> None:
-    """One folder for each shard. Tasks take a shard's rows by a salt of the row, so that a hot key's shard isn't one task's."""
-    out = with_shard(df, shards)
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
-    out.repartition(F.col(SHARD), salt).write.mode("overwrite").partitionBy(SHARD).parquet(path)
+    """A folder for each set, with one for each shard. Tasks take a shard's rows by a salt of the row, so that a hot key's shard isn't one task's."""
+    out = with_shard(df.drop(*LAYOUT), shards)
+    salt = F.pmod(F.xxhash64(*[c for c in df.columns if c not in LAYOUT]), F.lit(salts))
+    out.repartition(F.col(SHARD), salt).write.mode("overwrite").partitionBy(SET, SHARD).parquet(path)
+
+
+@dataclass
+class Folders:
+    """Where the rows of a sharded table are: written folders, each with the sets of the shards that still count in it."""
+
+    roots: dict[str, dict[int, int]] = field(default_factory=dict)
+
+    def read(self, spark: SparkSession) -> DataFrame | None:
+        """The rows with the layout's columns, which are folders, so that filters on them prune."""
+        parts = [spark.read.option("basePath", root).parquet(*[f"{root}/{SET}={s}/{SHARD}={k}" for k, s in sorted(held.items())]) for root, held in self.roots.items() if held]
+        return append(*parts) if parts else None
+
+    def replaced(self, shards: set[int], root: str, held: dict[int, int]) -> Folders:
+        """With the rows of these shards in another folder."""
+        kept = {r: {k: s for k, s in old.items() if k not in shards} for r, old in self.roots.items()}
+        return Folders({r: h for r, h in kept.items() if h} | ({root: held} if held else {}))
+
+    def added(self, root: str, held: dict[int, int]) -> Folders:
+        return Folders(self.roots | ({root: held} if held else {}))
+
+
+def written(spark: SparkSession, root: str) -> dict[int, int]:
+    """The shards that a written folder has, with their sets."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{SET}=*/{SHARD}=*")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return {int(x.getPath().getName().partition("=")[2]): int(x.getPath().getParent().getName().partition("=")[2]) for x in found}
 
 
 def pruned(df: DataFrame, shards: Shards, where: list[d.Expr]) -> DataFrame:

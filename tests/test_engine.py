@@ -199,3 +199,75 @@ def test_cli(spark, tmp_path):
     assert cli.main(["select name from u where id = 2", "--csv", f"u={tmp_path}/u.csv", "--format", "json"], spark, out) == 0
     assert json.loads(out.getvalue()) == {"name": "Bo"}
     assert cli.main(["select name from u", "--csv", f"u={tmp_path}/u.csv", "--notablescan"], spark, io.StringIO()) == 1
+
+
+def test_insert_appends(engine, tmp_path):
+    spark = engine.spark
+    engine.catalog.replace("users", engine.catalog.table("users"))
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "tables").rglob("*.parquet")}
+    for k in range(3):
+        engine.query(f"insert into users (id) values ({10 + k})")
+    assert all(p.stat().st_mtime_ns == t for p, t in before.items())
+    assert sorted(r[0] for r in rows(engine.query("select id from users"))) == [1, 2, 3, 4, 5, 10, 11, 12]
+    assert engine.catalog.insert("users", spark.createDataFrame([], "id long")) == 0
+
+
+def test_many_inserts_are_written_together(engine, monkeypatch):
+    from millrace import catalog
+
+    monkeypatch.setattr(catalog, "MOST_FOLDERS", 3)
+    for k in range(4):
+        engine.query(f"insert into users (id) values ({10 + k})")
+    assert engine.catalog.appended["users"] == 1
+    assert engine.catalog.table("users").count() == 9
+
+
+def test_changes_of_shards(engine, tmp_path):
+    c = engine.catalog
+    shards = c.shard("users", "id", 8, 2)
+    files = lambda: set((tmp_path / "tables" / "users").rglob("*.parquet"))
+    first = files()
+    assert rows(engine.query("update users set name = 'Z' where id = 1")) == [(1,)]
+    assert {p.parent.name for p in files() - first} == {f"_shard={functions.shard_of(1, 8)}"}
+    assert rows(engine.query("delete from users where id in (1, 2)")) == [(2,)]
+    assert rows(engine.query("insert into users (id, name) values (9, 'I')")) == [(1,)]
+    assert sorted(rows(engine.query("select id, name from users"))) == [(3, "Cid"), (4, None), (5, "Eve"), (9, "I")]
+    shard = functions.shard_of(9, 8)
+    target = 1 - shards.assignment[shard]
+    n = c.table("users").filter(F.col("_shard") == shard).count()
+    assert rows(engine.query(f"reshard users move {shard} to {target}")) == [(n,)]
+    where = {r["id"]: (r["_shard"], r["_set"]) for r in c.placement("users").collect()}
+    assert where[9] == (shard, target) and all(s == shards.assignment[k] for k, s in where.values())
+    assert f"_set={target}/_shard={shard}" in " ".join(c.table("users").inputFiles())
+    assert rows(engine.query("delete from users")) == [(4,)]
+    assert rows(engine.query("select count(*) as n from users")) == [(0,)]
+    assert rows(engine.query("insert into users (id, name) values (1, 'A')")) == [(1,)]
+    assert rows(engine.query("select id, name from users where id = 1")) == [(1, "A")]
+
+
+def test_failed_move_leaves_rows(engine, monkeypatch):
+    c = engine.catalog
+    shards = c.shard("users", "id", 8, 2)
+    shard = functions.shard_of(1, 8)
+    home = shards.assignment[shard]
+    monkeypatch.setattr("millrace.catalog.written", lambda *_: (_ for _ in ()).throw(RuntimeError("broke")))
+    with pytest.raises(RuntimeError):
+        c.reshard("users", shard, 1 - home)
+    assert shards.assignment[shard] == home and not shards.locked
+    assert {r["_set"] for r in c.placement("users").filter(F.col("_shard") == shard).collect()} == {home}
+
+
+def test_recover_and_apply(spark, tmp_path):
+    lines = [{"op": "insert", "payload": ["u", 0, {"a": 1}]}, {"op": "insert", "payload": ["w", 0, {"b": "x"}]}, {"op": "update", "payload": ["u", 0, {"a": 1}, {"a": 5}]}]
+    (tmp_path / "log").write_text("".join(json.dumps(x) + "\n" for x in lines))
+    c = Catalog(spark)
+    c.recover(str(tmp_path / "log"), {"u": "a long", "w": "b string"})
+    assert rows(c.table("u")) == [(5,)] and rows(c.table("w")) == [("x",)]
+
+
+def test_statistics_of_shards(engine):
+    engine.catalog.shard("users", "id", 8, 2)
+    for sql, asked in (("select name from users where id = 3", 1), ("select name from users", 2)):
+        seen = Observation("asked")
+        engine.query(sql, observe=seen).collect()
+        assert seen.get["backend_requests"] == asked
