@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import dialect as d
+from . import functions, sources
 from .catalog import Catalog
 from .engine import Engine
+from .errors import NoTableScanError, ShardKeyUpdateError, ShardLockedError
+from .functions import shard_of
 from .operators import append, merge_counts
 from .storage import shared_folder
 from .streaming import journal
@@ -22,6 +25,15 @@ INDEXES = {
     "lineitem": {"line_part": ["l_partkey"]},
 }
 
+
+
+def hashed(sql: str, key: str = "o_orderkey") -> str:
+    """SQL in which {} stands for the CRC-32 of a key's text, with its table of 256 values as crc."""
+    value = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST({key} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+    one = "list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    return f"WITH crc AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, {one} AS v FROM range(256) r(i))) " + sql.replace("{}", value)
+
+
 FLAGSHIP = "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_custkey > 10 GROUP BY o_orderstatus ORDER BY n DESC LIMIT 3"
 #: Name to a query of the dialect and its SQL; None where the query itself is its SQL.
 PLAIN: dict[str, tuple[str, str | None]] = {
@@ -77,7 +89,7 @@ PLAIN: dict[str, tuple[str, str | None]] = {
     "group_expr": ("SELECT o_custkey > 500 AS late, count(*) AS n FROM orders GROUP BY o_custkey > 500", None),
     "upper": ("SELECT c_custkey, upper(c_mktsegment) AS u FROM customer", None),
     "group_upper": ("SELECT upper(event_type) AS u, count(*) AS n FROM events GROUP BY upper(event_type)", None),
-    "hashmod": ("SELECT o_orderkey, hashmod(o_orderkey, 8) AS h FROM orders", ""),
+    "hashmod": ("SELECT o_orderkey, hashmod(o_orderkey, 8) AS h FROM orders", hashed("SELECT o_orderkey, {} % 8 AS h FROM orders, crc")),
     "idx_eq": ("SELECT * FROM orders WHERE o_orderkey = 7", None),
     "idx_range": ("SELECT o_orderkey FROM orders WHERE o_orderkey >= 100 AND o_orderkey <= 200", None),
     "idx_prefix_range": ("SELECT o_orderkey FROM orders WHERE o_custkey = 7 AND o_orderkey < 9000", None),
@@ -173,6 +185,98 @@ def journal_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.table("users", "event_type string, event_id long")
 
 
+def journal_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a journal of several files, in order of their names."""
+    path, log = f"{shared_folder(spark)}/journal", _log(spark, sf_dir)
+    payload = F.when(F.col("op") == "update", F.concat(F.lit("{},"), "row")).otherwise(F.col("row"))
+    line = F.concat(F.lit('{"op":"'), "op", F.lit('","payload":["users",'), F.col("tid").cast("string"), F.lit(","), payload, F.lit("]}"))
+    log.repartitionByRange(3, "lsn").sortWithinPartitions("lsn").select(line.alias("value")).write.text(path)
+    catalog = Catalog(spark)
+    catalog.recover(path, {"users": "event_type string, event_id long"})
+    return Engine(spark, catalog).query("SELECT event_type, event_id FROM users")
+
+
+def resharded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each row is after a shard has moved."""
+    e = engine(spark, sf_dir, root=True)
+    e.catalog.shard("orders", "o_orderkey", 8, 2)
+    e.query("RESHARD orders MOVE 3 TO 1")
+    return e.catalog.placement("orders").select("o_orderkey", F.col("_shard").alias("shard"), F.col("_set").alias("replica_set"))
+
+
+def imported(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A table written as CSV or JSON lines and imported from there."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path, e = f"{shared_folder(spark)}/nation", engine(spark, sf_dir)
+        if kind == "csv":
+            e.catalog.table("nation").write.option("header", True).csv(path)
+            e.catalog.import_csv("again", path)
+        else:
+            sources.write_json(e.catalog.table("nation"), path)
+            e.catalog.import_json("again", path)
+        return e.query("SELECT n_nationkey, n_name FROM again WHERE n_regionkey > 1")
+
+    return run
+
+
+def json_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.json_lines(engine(spark, sf_dir).query("SELECT r_regionkey, r_name FROM region"))
+
+
+def copy_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, path = engine(spark, sf_dir, root=True), f"{shared_folder(spark)}/region"
+    sources.write_json(e.catalog.table("region"), path)
+    e.query(f"COPY region FROM '{path}'")
+    return e.query("SELECT * FROM region")
+
+
+#: Statements that are refused while the shard of key 7 is locked, and by what.
+REFUSED = {
+    "SELECT o_orderkey FROM orders WHERE o_orderkey = 7": "ShardLockedError", "DELETE FROM orders WHERE o_orderkey = 7": "ShardLockedError",
+    "UPDATE nation SET n_regionkey = 1": "NoTableScanError", "UPDATE orders SET o_orderkey = 1 WHERE o_orderkey = 2": "ShardKeyUpdateError",
+}
+
+
+def guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What refuses statements: a lock on a shard, a full scan, the shard key."""
+    e = engine(spark, sf_dir)
+    shards, found = e.catalog.shard("orders", "o_orderkey", 8, 2), []
+    shards.locked.add(shard_of(7, 8))
+    for sql in REFUSED:
+        try:
+            e.query(sql, notablescan="nation" in sql)
+        except (NoTableScanError, ShardKeyUpdateError, ShardLockedError) as x:
+            found.append((sql, type(x).__name__))
+    return spark.createDataFrame(found, "statement string, error string")
+
+
+def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a scan and an index path read."""
+    e, out = engine(spark, sf_dir), []
+    for name, sql in (("scan", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'"), ("index", "SELECT o_orderkey FROM orders WHERE o_custkey = 7 AND o_orderstatus = 'F'")):
+        seen = Observation(name)
+        e.query(sql, observe=seen).write.format("noop").mode("overwrite").save()
+        out.append((name, seen.get["table_tuples_scanned"], seen.get["index_tuples_fetched"]))
+    return spark.createDataFrame(out, "query string, table_tuples_scanned long, index_tuples_fetched long")
+
+
+def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row by its tid, as one version of the table numbers its rows."""
+    c = engine(spark, sf_dir).catalog
+    return c.fetch("nation", c.with_tids("nation").filter("n_nationkey = 3").first()["_tid"])
+
+
+def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggregates that a caller adds: one of built-in ones, and one of steps."""
+    functions.register_aggregate("lowest", lambda x, kind, strict: F.min(x))
+    functions.register_aggregate("spread", functions.folded(0, lambda s, x: s * 2 + x.cast("long") % 2, lambda s: s % 97, "long"))
+    try:
+        return engine(spark, sf_dir).query("SELECT n_regionkey, lowest(n_nationkey) AS low, spread(n_nationkey) AS s FROM nation GROUP BY n_regionkey")
+    finally:
+        del functions.AGGREGATES["lowest"], functions.AGGREGATES["spread"]
+
+
 _REPLAYED = """
 WITH x AS (SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id)
 SELECT user_id AS tid, event_type, event_id FROM x WHERE event_id % 7 <> 0
@@ -180,7 +284,7 @@ SELECT user_id AS tid, event_type, event_id FROM x WHERE event_id % 7 <> 0
 _ORDERS = "o_orderkey, o_custkey, o_orderstatus"
 #: Name to a function and its SQL; None where SQL can't express it.
 OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
-    "index_scan_desc": (index_scan, "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 7 AND o_orderkey >= 100"),
+    "index_scan_desc": (index_scan, "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 7 AND o_orderkey >= 100 ORDER BY o_orderkey DESC"),
     "index_only_scan": (index_only, "SELECT l_partkey, count(*) AS n, count(*) AS n_tids FROM lineitem WHERE l_partkey > 100 AND l_partkey <= 300 GROUP BY l_partkey"),
     "append": (both_ends, "SELECT o_orderkey FROM orders WHERE o_custkey < 50 UNION ALL SELECT o_orderkey FROM orders WHERE o_custkey > 1400"),
     "merge_counts": (counts, 'SELECT count(*) AS "count" FROM orders'),
@@ -196,10 +300,22 @@ OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "shard_topk": (sharded("SELECT o_orderkey FROM orders ORDER BY o_custkey DESC, o_orderkey LIMIT 10"), "SELECT o_orderkey FROM orders ORDER BY o_custkey DESC, o_orderkey LIMIT 10"),
     "shard_group": (sharded("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus"), "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus"),
     "shard_update": (sharded("SELECT o_orderkey, o_custkey FROM orders", "UPDATE orders SET o_custkey = 1 WHERE o_orderkey = 7"), "SELECT o_orderkey, CASE WHEN o_orderkey = 7 THEN 1 ELSE o_custkey END AS o_custkey FROM orders"),
-    "reshard_move": (sharded("SELECT count(*) AS n FROM orders", "RESHARD orders MOVE 3 TO 1"), "SELECT count(*) AS n FROM orders"),
+    "reshard_move": (resharded, hashed("SELECT o_orderkey, CAST(h AS INTEGER) AS shard, CASE WHEN h >= 3 THEN 1 ELSE 0 END AS replica_set FROM (SELECT o_orderkey, {} % 8 AS h FROM orders, crc)")),
+    "shard_insert": (sharded("SELECT o_orderkey, o_custkey FROM orders", "INSERT INTO orders (o_orderkey, o_custkey) VALUES (70001, 5), (70002, 6)"), "SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT 70001, 5 UNION ALL SELECT 70002, 6"),
+    "shard_delete": (sharded("SELECT o_orderkey FROM orders", "DELETE FROM orders WHERE o_orderkey IN (1, 2, 7) AND o_custkey > 0", "DELETE FROM orders WHERE o_custkey < 100"), "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (1, 2, 7) AND o_custkey >= 100"),
+    "csv_import": (imported("csv"), "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey > 1"),
+    "json_import": (imported("json"), "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey > 1"),
+    "json_encode": (json_encode, """SELECT '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' AS "value" FROM region"""),
+    "copy_file": (copy_file, "SELECT * FROM region UNION ALL SELECT * FROM region"),
+    "guards": (guarded, " UNION ALL ".join(f"SELECT '{x}' AS statement, '{e}' AS error" for x, e in REFUSED.items())),
+    "statistics": (statistics, "SELECT 'scan' AS query, count(*) AS table_tuples_scanned, 0 AS index_tuples_fetched FROM orders UNION ALL SELECT 'index', 0, count(*) FROM orders WHERE o_custkey = 7"),
+    "fetch": (fetched, "SELECT * FROM nation WHERE n_nationkey = 3"),
+    "registered_aggregate": (registered, "SELECT n_regionkey, min(n_nationkey) AS low, list_reduce(list_prepend(CAST(0 AS BIGINT), list(CAST(n_nationkey AS BIGINT) ORDER BY n_nationkey)), lambda s, x: s * 2 + x % 2) % 97 AS s FROM nation GROUP BY n_regionkey"),
+    "scalar_beside_aggregate": (plain("SELECT r_name, count(*) AS n FROM region LIMIT 0"), "SELECT count(*) AS n FROM region"),
     "explain": (lambda spark, sf_dir: engine(spark, sf_dir).query("EXPLAIN SELECT o_orderkey FROM orders WHERE o_custkey = 7 AND o_orderstatus = 'F'"), """SELECT '["Project", ["Filter", ["IndexScan", "orders_cust_key", {"eq": [7]}]]]' AS explain"""),
     "journal_replay": (journal_replay, _REPLAYED),
     "journal_stream": (journal_stream, _REPLAYED),
+    "journal_recover": (journal_recover, _REPLAYED.replace("SELECT user_id AS tid, ", "SELECT ")),
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: plain(q) for k, (q, _) in PLAIN.items()} | {k: f for k, (f, _) in OTHER.items()}
