@@ -37,8 +37,9 @@ def byte_symbols() -> list[str]:
 class Codec:
     def __init__(self, path: str):
         import regex
-        from tokenizers import models
+        from tokenizers import Tokenizer, models
 
+        self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, self.suffix = spec["model"], spec["model"]["end_of_word_suffix"] or ""
@@ -51,7 +52,7 @@ class Codec:
         self.inner = models.BPE(vocab=vocab, merges=merges)
         self.closing = models.BPE(vocab=vocab, merges=merges, end_of_word_suffix=self.suffix)
         self.symbol = byte_symbols()
-        byte = {c: b for b, c in enumerate(self.symbol)}
+        self.byte = byte = {c: b for b, c in enumerate(self.symbol)}
         held = {(byte[a], byte[b]) for t in vocab for s in [t.removesuffix(self.suffix)] for a, b in zip(s, s[1:], strict=False)}
         #: For each byte, the bytes that may follow it inside a token.
         self.follows = [frozenset(b for b in range(256) if (a, b) in held) for a in range(256)]
@@ -76,7 +77,7 @@ class Codec:
         """Ids, four bytes each: those of the fragments, one after the other."""
         if (out := self.tokens_of.get(token)) is not None:
             return out
-        data, out = token.encode("utf-8", "replace"), b""
+        data, out = token.encode("utf-8", "surrogateescape"), b""
         at = self.cuts(data)
         for lo, hi in zip(at, at[1:], strict=False):
             key = data[lo:hi], hi == len(data)
@@ -99,8 +100,13 @@ class Codec:
         """Ids, four bytes each, of a text without white space or special tokens."""
         if (got := self.cache.get(text)) is not None:
             return got
-        plain = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # capital sigma: no final form
-        out = b"".join([self.pre_token(t) for t in ((plain,) if plain.isalpha() else self.pre.findall(plain))])
+        if _LATIN.fullmatch(text):
+            plain = unicodedata.normalize("NFC", text).lower()
+            pieces = (plain,) if plain.isalpha() else self.pre.findall(plain)
+        else:  # what a character is depends on the version of Unicode: the library's own counts
+            found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+            pieces = [bytes([self.byte[c] for c in symbols]).decode("utf-8", "surrogateescape") for symbols, _ in found]
+        out = b"".join([self.pre_token(t) for t in pieces])
         if len(text) <= LONGEST:
             if len(self.cache) >= CACHED:
                 self.cache.clear()
@@ -128,6 +134,8 @@ class Codec:
 
 #: Characters that str.split() takes for white space and Unicode doesn't.
 _ODD, _SPACE = re.compile("[\x1c-\x1f]"), re.compile("[^\\S\x1c-\x1f]+")
+#: Characters that all versions of Unicode agree about: Basic Latin to Latin Extended-B.
+_LATIN = re.compile("[\x00-\u024f]*")
 
 
 @functools.lru_cache(1)

@@ -503,7 +503,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     splitters = _splitters(regions, int(spark.conf.get("spark.sql.shuffle.partitions")))
     known = space.save(_repeated(_runs(regions, splitters)), "known")
     ends = space.save(_ends(regions.join(known, "_class", "left")), "ends")
-    open_ = ends.join(ends.filter("_flag").select("_hash").distinct(), "_hash", "left_semi").groupBy("_class").agg(F.sort_array(F.collect_set("_pos")).alias("_at"))
+    # Written, so that adaptive execution can split the join on a hot gram.
+    undecided = space.save(ends.filter("_flag").select("_hash").distinct(), "undecided")
+    open_ = ends.join(undecided, "_hash", "left_semi").groupBy("_class").agg(F.sort_array(F.collect_set("_pos")).alias("_at"))
     more = space.save(meeting(_windows(regions.join(open_, "_class"), bits), bits, volume, space), "more").select("_class", "_at")
     both = known.union(more).groupBy("_class").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("_at")))).alias("_at"))
     per = known_texts.select("_class", "_copies").join(both, "_class", "left").join(anchors.select("_class", "_across"), "_class", "left").withColumnRenamed("_class", "_c")

@@ -5,8 +5,9 @@ labels apart, and puts the examples' TF-IDF vectors into an inverted index whose
 cut into blocks of examples, with the largest weight of each term in each block. A search adds
 up those maxima to a bound for every block, opens blocks from the highest bound down, and stops
 when no closed block can hold one of the k nearest: the result is that of an exhaustive search.
-The neighbours vote with their cosines, each label weighing what the sample took of it, and a
-logistic curve fitted on leave-one-out votes turns the vote into a probability.
+The neighbours vote with their cosines, each label weighing what the sample took of it; examples
+as near as the last of them all vote, with the places that are left shared evenly, so neither
+label nor id decides a tie. A logistic curve fitted on leave-one-out votes turns the vote into a probability.
 
 Scoring is one scan without a shuffle. What each task gets is the index, whose size is bounded
 by the parameters POSITIVE and NEGATIVE and not by the data.
@@ -35,6 +36,10 @@ BLOCK, NEAREST = 32, 15
 ALIKE = 75
 #: So many of the best terms count even without evidence beyond chance.
 LEAST = 8
+#: Cosines this close are equal; texts whose scores a task remembers.
+TIE, CACHED = 1e-9, 8192
+#: The least slope of the calibration.
+LEAST_SLOPE = 0.05
 #: A text with at least this score is predicted toxic.
 LIMIT = 0.3
 #: Words for search: runs of letters, in lower case. The second is the first in Java's terms.
@@ -59,17 +64,18 @@ class BlockMaxIndex:
         np.maximum.at(self.max.reshape(-1), at, self.weights)
         self.opened = 0
 
-    def search(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
-        """The k best (score, position), only scores above 0; of equal scores the first positions."""
+    def _scored(self, query: dict[int, float], k: int, skip: int = -1):
+        """Scores, complete for all that are at least as good as the k-th best, and that best's; skip doesn't count."""
         import numpy as np
 
+        score, least = np.zeros(self.n), 0.0
         if not query or not self.n:
-            return []
+            return score, least
         terms, q = np.fromiter(query.keys(), np.int64, len(query)), np.fromiter(query.values(), np.float64, len(query))
         bound = q @ self.max[terms]
         order = np.argsort(-bound, kind="stable")
-        score, at, step, least = np.zeros(self.n), 0, 4, 0.0
-        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] + 1e-12 >= least:
+        at, step = 0, 4
+        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] + TIE >= least:
             blocks = order[at : at + step]
             self.opened += len(blocks)
             cell = (terms[:, None] * self.n_blocks + blocks[None, :]).ravel()
@@ -78,12 +84,34 @@ class BlockMaxIndex:
             if total:
                 flat = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(total)
                 np.add.at(score, self.docs[flat], self.weights[flat] * np.repeat(np.repeat(q, len(blocks)), size))
+            if skip >= 0:
+                score[skip] = 0.0
             at, step = at + len(blocks), step * 2
             if np.count_nonzero(score) >= k:
                 least = -np.partition(-score, k - 1)[k - 1]
+        return score, least
+
+    def search(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
+        """The k best (score, position), only scores above 0; of equal scores the first positions."""
+        import numpy as np
+
+        score, _ = self._scored(query, k)
         best = np.lexsort((np.arange(self.n), -np.round(score, 12)))[:k]
         return [(float(score[i]), int(i)) for i in best if score[i] > 0]
 
+    def nearest(self, query: dict[int, float], k: int, skip: int = -1):
+        """positions, scores, shares: the k best and all that are equal to the last of them, who share the places that are left for them."""
+        import numpy as np
+
+        score, least = self._scored(query, k, skip)
+        at = np.flatnonzero((score > 0) & (score >= least - TIE))
+        at = at[np.lexsort((at, -np.round(score[at], 9)))]
+        near, share = score[at], np.ones(len(at))
+        if len(at) > k:
+            tied = near <= least + TIE
+            share[tied] = (k - np.count_nonzero(~tied)) / np.count_nonzero(tied)
+        return at, near, share
+
 
 class Model:
     """Fitted on counts: for each example its id, label and term counts; weight: of each label."""
@@ -95,7 +123,7 @@ class Model:
         self.idf = [math.log((n + 1) / (df[t] + 1)) + 1 for t in terms]
         vectors = [self.vector(c) for _, _, c in examples]
         # Examples whose strongest term is the same share blocks.
-        order = sorted(range(n), key=lambda i: (max(vectors[i], key=vectors[i].get, default=-1), examples[i][1], str(examples[i][0])))
+        order = sorted(range(n), key=lambda i: (max(vectors[i], key=vectors[i].get, default=-1), str(examples[i][0])))
         self.k, self.weight, self.cache = k, weight, {}
         self.ids, self.labels = [examples[i][0] for i in order], [examples[i][1] for i in order]
         vectors = [vectors[i] for i in order]
@@ -110,19 +138,19 @@ class Model:
         norm = math.sqrt(sum(w * w for w in v.values()))
         return {i: w / norm for i, w in sorted(v.items())}
 
-    def vote(self, near: list[tuple[float, int]]) -> float:
+    def vote(self, near) -> float:
         """Distance-weighted share of label 1 among neighbours, drawn to the share of texts without evidence."""
-        one = sum(s * self.weight[1] for s, i in near if self.labels[i])
-        zero = sum(s * self.weight[0] for s, i in near if not self.labels[i])
+        import numpy as np
+
+        at, scores, shares = near
+        label, voice = np.array([self.labels[i] for i in at]), scores * shares
+        one, zero = (float(voice[label == y].sum()) * self.weight[y] if len(at) else 0.0 for y in (1, 0))
         some = 0.1 * (self.weight[0] + self.weight[1]) / 2
         return (one + some * self.blank) / (one + zero + some)
 
     def _calibrated(self, vectors) -> tuple[float, float]:
         """A logistic curve on the votes, each example's own vote left out, by Newton's method."""
-        rows = []
-        for i, v in enumerate(vectors):
-            near = [x for x in self.index.search(v, self.k + 1) if x[1] != i][: self.k]
-            rows.append((self._logit(self.vote(near)), self.labels[i], self.weight[self.labels[i]]))
+        rows = [(self._logit(self.vote(self.index.nearest(v, self.k, i))), self.labels[i], self.weight[self.labels[i]]) for i, v in enumerate(vectors)]
         a, b = 1.0, 0.0
         if len({y for _, y, _ in rows}) < 2:
             return a, b
@@ -138,7 +166,15 @@ class Model:
             a, b = a + da / size, b + db / size
             if abs(da) + abs(db) < 1e-9:
                 break
-        return max(a, 0.05), b
+        if a < LEAST_SLOPE:  # a higher vote never means a lower score: the shift is fitted alone
+            a, b = LEAST_SLOPE, 0.0
+            for _ in range(50):
+                at = [(1 / (1 + math.exp(-max(-30.0, min(30.0, a * x + b)))), y, w) for x, y, w in rows]
+                gb, hbb = sum(w * (y - p) for p, y, w in at), 1e-9 + sum(w * p * (1 - p) for p, _, w in at)
+                b += max(-1.0, min(1.0, gb / hbb))
+                if abs(gb / hbb) < 1e-9:
+                    break
+        return a, b
 
     @staticmethod
     def _logit(p: float) -> float:
@@ -146,15 +182,15 @@ class Model:
         return math.log(p / (1 - p))
 
     def score(self, text: str) -> tuple[float, list[tuple[float, int]]]:
-        """Probability of label 1, and the nearest examples."""
+        """Probability of label 1, and the three nearest examples."""
         known = self.vocabulary
         counts = Counter([t for t in _TERM.findall(text.lower()) if t in known])
         key = tuple(sorted(counts.items()))
         if (got := self.cache.get(key)) is None:
-            near = self.index.search(self.vector(counts), self.k)
+            near = self.index.nearest(self.vector(counts), self.k)
             z = self.slope * self._logit(self.vote(near)) + self.shift
-            got = 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), near
-            if len(self.cache) >= 50_000:
+            got = 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), [(float(x), int(i)) for i, x in zip(near[0][:3], near[1][:3], strict=True)]
+            if len(self.cache) >= CACHED:
                 self.cache.clear()
             self.cache[key] = got
         return got

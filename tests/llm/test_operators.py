@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from millrace.llm import bpe, components, exact_dedup, license_scan, mixing, ngram_join, pii, quality, suffix_dedup, token_counts, toxicity
+from millrace.llm import bpe, components, exact_dedup, exchange, license_scan, mixing, ngram_join, pii, quality, suffix_dedup, token_counts, toxicity
 from millrace.llm._common import Workspace
 
 from .conftest import ODD
@@ -67,6 +67,18 @@ def test_bpe_like_the_library(texts):
         assert codec.decode(got) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_of_all_planes():
+    from tokenizers import Tokenizer
+
+    library, codec = Tokenizer.from_file(bpe.default_path()), bpe.Codec(bpe.default_path())
+    rows = [f"a{chr(c)}b {chr(c)}" for c in [*range(0xD800), *range(0xE000, 0x20000, 3), *range(0x20000, 0x110000, 997)]]
+    random.seed(9)
+    marks = [0x300, 0x301, 0x327, 0x1AC9, 0x20E6, 0x10D27, 0x20EE, 0x5B0, 0x3A3, 0x41, 0xE9, 0x130, 0x20, 0x1100, 0x1161, 0x11A8, 0x31]
+    rows += ["".join(chr(random.choice([*marks, random.randrange(0x250), random.randrange(0x3000, 0xD800), random.randrange(0x10000, 0x1F000)])) for _ in range(random.randint(1, 12))) for _ in range(3000)]
+    wrong = [t for t in rows if codec.encode(t) != b"".join(i.to_bytes(4, "little") for i in library.encode(t, add_special_tokens=False).ids)]
+    assert wrong == []
+
+
 def test_token_counts_are_viterbi(texts):
     scores = token_counts.pieces(token_counts.default_path())
     longest = max(map(len, scores))
@@ -122,6 +134,28 @@ def test_toxicity_index_is_exhaustive():
     assert index.opened < 100 * index.n_blocks
 
 
+def test_toxicity_nearest_with_ties():
+    random.seed(6)
+    vectors = [{t: random.choice([0.5, 1.0]) for t in random.sample(range(6), random.randint(0, 3))} for _ in range(200)]
+    index = toxicity.BlockMaxIndex(vectors, 6, 16)
+    for k in range(60):
+        q = {t: random.choice([0.5, 1.0]) for t in random.sample(range(6), 2)}
+        every = {i: sum(w * v.get(t, 0) for t, w in q.items()) for i, v in enumerate(vectors) if i != k}
+        best = sorted((s for s in every.values() if s > 0), reverse=True)[:10]
+        above = [i for i, s in every.items() if s > best[-1] + 1e-12]
+        tied = [i for i, s in every.items() if abs(s - best[-1]) < 1e-12]
+        at, scores, shares = index.nearest(q, 10, k)
+        assert set(at.tolist()) == {*above, *tied} and all(abs(every[i] - s) < 1e-12 for i, s in zip(at.tolist(), scores, strict=True))
+        got = dict(zip(at.tolist(), shares.tolist(), strict=True))
+        assert all(got[i] == 1 for i in above) and all(abs(got[i] - (len(best) - len(above)) / len(tied)) < 1e-12 for i in tied)
+
+
+def test_toxicity_ties_are_votes():
+    for order in (1, -1):  # neither label nor id comes first
+        model = toxicity.Model(["w"], [(order * k, int(k < 60), {"w": 1}) for k in range(75)], (1.0, 1.0))
+        assert abs(model.score("w")[0] - 0.8) < 0.05
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -252,6 +286,7 @@ def near_copies(n, edits, seed):
 @pytest.mark.parametrize("carried", [1024, 100, 0])
 def test_ngram_join(spark, docs, texts, monkeypatch, carried):
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(exchange, "TURN", {1024: 8, 100: 2, 0: 3}[carried])  # one round, and several
     monkeypatch.setattr(ngram_join, "CARRIED", carried)
     rows = [*texts.items(), *near_copies(40, 6, 1), *near_copies(30, 9, 2), (7001, "A b\tc D e"), (7002, "a B c d E"), (7003, "a b"), (7004, "A  B")]
     got = {r[0]: tuple(r[1:]) for r in ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -313,13 +348,15 @@ def brute_repeats(rows):
     return sorted(out)
 
 
-def test_suffix_dedup(spark, monkeypatch):
+@pytest.mark.parametrize("turn", [8, 2])
+def test_suffix_dedup(spark, monkeypatch, turn):
     random.seed(6)
     noise = lambda n: "".join(random.choice("abcdeé ") for _ in range(n))
     passage = noise(1500)
     rows = [(k, noise(300) + passage[random.randint(0, 300) : random.randint(600, 1500)] + noise(300)) for k in range(25)]
     rows += [(50, passage[100:499] + noise(5)), (51, noise(9) + passage[200:600]), (52, "a" * 900), (53, ("xyz" * 400)[:1100]), (54, rows[0][1]), (54, rows[0][1]), (None, passage), (55, None), (56, "short"), (57, noise(700) * 2)]
     monkeypatch.setattr(suffix_dedup, "RUN", 40)
+    monkeypatch.setattr(exchange, "TURN", turn)
     out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     got = sorted((str(r["doc_id"]), r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in out)
     assert got == brute_repeats(rows)
@@ -379,6 +416,64 @@ def test_against_sql(spark, name):
     assert sorted(repr([r[n] for n in names]) for r in df.collect()) == sorted(repr([r[k] for k in at]) for r in want.fetchall())
 
 
+def test_further_components(spark):
+    space, frame = Workspace(spark, "t"), lambda e: spark.createDataFrame(e, "a long, b long")
+    one = components.further(None, frame([(2, 1), (3, 2), (11, 10), (21, 20)]), space, "x")
+    two = components.further(one, frame([(11, 3), (30, 21), (2, 1)]), space, "y")
+    assert {r["v"]: r["root"] for r in two.collect()} == {2: 1, 3: 1, 10: 1, 11: 1, 21: 20, 30: 20}
+
+
+def test_suffix_shared_passages(spark):
+    random.seed(12)
+    noise = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
+    passage = noise(300)
+    rows = [(1, noise(900) + passage + noise(500)), (2, noise(40) + passage + noise(2000)), (3, noise(1500)), (4, noise(170) * 2), (5, "short"), (6, "short")]
+    got = {r["doc_id"]: (r["shared"] > 0, len(r["spans"])) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (True, 0), 2: (True, 0), 3: (False, 0), 4: (False, 0), 5: (False, 0), 6: (False, 0)}
+
+
+def test_text_classes_tell_clashes_apart(spark, monkeypatch):
+    from millrace.llm import _common
+
+    real = _common.F.xxhash64
+    monkeypatch.setattr(_common.F, "xxhash64", lambda *c: _common.F.length(c[0]).cast("long") if len(c) == 1 else real(*c))
+    base = spark.createDataFrame([(1, "ab"), (2, "cd"), (3, "ab"), (4, "x")], "_id long, _text string")
+    rows, known = _common.text_classes(base, "_text", Workspace(spark, "t"))
+    got = {r["_id"]: r["_class"] for r in rows.collect()}
+    assert got[1] == got[3] and len({*got.values()}) == 3
+    assert sorted((r["_copies"], r["_least"]) for r in known.collect()) == [(1, 2), (1, 4), (2, 1)]
+
+
+def test_mixing_repeated_rows(spark):
+    rows = [(1, "a b c", "s")] * 50 + [(k, "w " * (k % 7 + 1), "t") for k in range(2, 60)] + [(2, None, None)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(out) == len(rows)
+    same = [r["copies"] for r in out if r["doc_id"] == 1]
+    assert max(same) - min(same) <= 1 and abs(3 * sum(same) - out[0]["target"] if out[0]["doc_id"] == 1 else 0) <= 3 * 50
+    assert all(r["copies"] <= 3 for r in out)
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_pipeline_odd_rows(odd, none, spark, k):
+    import corpus_pipeline as p
+
+    name, stage = p.STAGES[k]
+    rows, empty = stage(spark, odd, SF).collect(), stage(spark, none, SF)
+    assert empty.collect() == []
+    given = Counter(str(i) for i, _, _ in ODD)
+    if name != "encoding":
+        assert empty.columns == odd.columns
+    got = Counter(str(r["doc_id"]) for r in rows)
+    if name in ("toxicity", "encoding"):
+        assert got == given
+    elif name == "exact dedup":
+        assert got == Counter(str(i) for i in (3, 5, None, 6, 7, 8, 9, 10))
+    elif name == "near duplicates":
+        assert got["5"] + got["4"] + got["10"] == 1 and got["1"] == got["2"] == got["3"] == 1 and max(got.values()) == 1
+    else:
+        assert set(got) <= set(given) and all(n <= 3 * given[i] for i, n in got.items())
+
+
 def test_pipeline(spark, docs, texts):
     import corpus_pipeline as p
 
