@@ -552,3 +552,19 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def query(spark, sf_dir: str) -> DataFrame:
     return similar_links(table(spark, sf_dir, "documents"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORACLE = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) < {WORDS} THEN list_filter([array_to_string(ws, ' ')], lambda x: x <> '')
+             ELSE list_transform(range(1, len(ws) - {WORDS - 2}), lambda i: array_to_string(ws[i:i + {WORDS - 1}], ' ')) END) AS g FROM w),
+t AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n, b.n AS m, count(*) AS o FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * o >= {LEAST} * (n + m - o)),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id),
+k AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id),
+c AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, k.component_id, coalesce(c.n_links, 0) AS n_links
+FROM s JOIN k ON k.doc_id = s.doc_id LEFT JOIN c ON c.a = s.doc_id
+"""

@@ -21,5 +21,6 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op8_license_scan": license_scan.ORACLE,
+    "op9_ngram_join": ngram_join.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
