@@ -26,8 +26,8 @@ SPELLINGS = {"licence": "license", "licenced": "licensed", "sub-license": "subli
              "released under": "licensed under", "distributed under": "licensed under", "available under": "licensed under", "published under": "licensed under",
              "this work is licensed": "licensed", "this software is licensed": "licensed", "this project is licensed": "licensed", "this program is licensed": "licensed", "this file is licensed": "licensed", "this code is licensed": "licensed",
              "licensed under the ": "licensed under ", "licensed under a ": "licensed under ", "licensed under an ": "licensed under "}
-#: A line that starts so is a copyright line and is dropped.
-COPYRIGHT = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: A copyright line: it starts with the word or the sign and names a year, a sign, or "by" a holder; a sentence that is wrapped before "copyright notice" is none.
+COPYRIGHT = r"(?m)^[^a-z0-9\n]*(?:(?:copyright|\(c\)|©)[^\n]*(?:[12][0-9]{3}|\(c\)|©|yyyy|<year>|\[year\])[^\n]*|(?:copyright|\(c\)|©)[ \t]+by[ \t][^\n]*|all rights reserved[^\n]*|(?:copyright|©)[^a-z0-9\n]*)$"
 #: No more known texts than this: the digest table is broadcast.
 MOST_KNOWN = 100_000
 

@@ -6,52 +6,49 @@ digests must be made anew; test_license_forms compares some.
 """
 
 TEXTS = [
-    ("Apache-2.0", "0512b496ed1df0a1e1b08aa447f1213e4f6b6fa0b07eaf5c29d017a8010ce0d0"),
-    ("Apache-2.0", "61c67a05206d6aeca9e51efb3e6d7dba35ac59bf5a8f7034ed7037dcca0b70ba"),
-    ("Apache-2.0", "d10387a31c22267005b97b220394a24c7c40a2e96961e4518a91eedeb0ffc806"),
-    ("Apache-2.0", "4b0502827f4c81b6ae2ea1830ac9fef20ad9df477af4dace90d4c10c2ad42dcf"),
-    ("Apache-2.0", "75eea0e71cc71c16b0f3690e39dfdddf5568637d5196f08c3d6607fd256948ce"),
-    ("Apache-2.0", "1ec90fb8d4d35a1bc93f4baef55f05abc6ab62381feae84a4abddaf47fe9667b"),
-    ("GPL-1.0", "16723d45ff63af0829a0aa6c8ca4fe9d03f3ae7e3662c5439e2c71bc03c19eb4"),
+    ("Apache-2.0", "7869c69e2c7722fe91fc22242978e63cba696d807ad8eba171823cdf332386e8"),
+    ("Apache-2.0", "f74a128e2a90107b0ec49c89431429c15fd87e24827c6f459a0d3c55737e0cab"),
+    ("Apache-2.0", "35cddd25fcf047c8ed02e7f50a2b8a1e824317bf88285754dfe0eb4803ee3050"),
+    ("GPL-1.0", "40b4f7a668d0b82810cafd55370a78a5244878534ec56cbbc8fcb980b454fbda"),
     ("GPL-1.0", "cfe57f5c9718709211bfbd1b1828ed9422b0eae1db40a8dc14135f7d5dc9e603"),
     ("GPL-1.0", "5e92bf722d3022b6e08ec5e839afe1a3363db73b5a7f0d1cc9c0fab5e2502f35"),
-    ("GPL-2.0", "a007661d27639367f88a8cf3d5708f3a334ed74227df2093263e9a2b4f99e08a"),
-    ("GPL-2.0", "562fb71c1ba87220480439b3d760b42abe19295b66abbf74d98b7266b493df55"),
-    ("GPL-2.0", "9b290db5523c398bab54c6f10949c8cfb9e6d383a99b06189859f23dd42e4fc2"),
+    ("GPL-2.0", "a6c13c83e69bb869b8612784042981280298b2cebb96875a65efcdc735dafec2"),
+    ("GPL-2.0", "5fe0570424a4f3872cf804d2a778b5a4b5cd335b2295807432d20c3c45c0e38c"),
+    ("GPL-2.0", "83a5aa7debd796b5db27be062c58544abee7d73850d5b5b690d937e3658bb3dd"),
     ("GPL-2.0", "bf01b0fe3ac6416f3fcaef24b0b528fd08af6f60f58849c1480c07e92c35fc86"),
     ("GPL-2.0", "bd8bd0aa099db6c0ab0dd15564885fb19df7bfdc1a5137aea45b162898ff2fbb"),
     ("GPL-2.0", "2f6b5837589388ad7a482f0485b4e6012d3cc334876b36cc4e77d041887d8036"),
-    ("GPL-3.0", "ff06e995e8bd61f7adf9f206952b6ff880dcd88555c864a8fe51ec44e2b24ecc"),
-    ("GPL-3.0", "f13bfefbb468713d139a2b461d599b4bd6f930257d3d64273c1c0db21e66ace7"),
-    ("GPL-3.0", "4af779f73c2dd7221bc493547a92f3764d062f94ba0da256cc95314f98394051"),
-    ("GPL-3.0", "87672b871cf6509570246139b0d69b8e1beb10ff0b8a1f7f19bf692a2e82ac96"),
-    ("GPL-3.0", "5d13e26f484032e1f8a0d705f289e3c69dcae6f310756645b532c5694f219f56"),
-    ("GPL-3.0", "c96985b5f1da1e3fc56d0e8ff7dd7015b0831993149d3cbbde43f93fe4b05fdc"),
-    ("LGPL-2.0", "e07e2350571abe50e78a75b0455c4ea53fdb116e6360f268ab17e338cef8ff4c"),
-    ("LGPL-2.0", "da868be5580710a44f02ba5677d00dae81ea676b4a74aa3a825c5ba3eef7ac98"),
-    ("LGPL-2.0", "9f0b7db7d0e496cc201468350c95f92fd1db544d6a0771a94d6accb9afe88bd8"),
-    ("LGPL-2.1", "251c2ac204f85a9f55398a7b17e2694709401493dbb2f89a545793f1b8d9b4af"),
-    ("LGPL-2.1", "90c78f5a7215f9d33565a50e1c02444ba648895ae1debba2ff8cca2607e994b8"),
-    ("LGPL-2.1", "39b65575d065cbc7b61f6419dcab388e8dafd489a4515fb30106efcba0f97f83"),
+    ("GPL-3.0", "97c6d1fdd515be810982b0982b0eef7ade7740e4a2bdacb1a990d14d95e1de17"),
+    ("GPL-3.0", "dbc32f7a1953bac03d090368da93d503985e50cd6f855e2ca2575c638ba31c9e"),
+    ("GPL-3.0", "1c3ca0ab23d42d6fe52b411c49c2e2c0ee4eb65d98be98c9439bda7ddcf280ec"),
+    ("LGPL-2.0", "63b2f4247e8d9dcb03c1a56ad25f91c39050cf00ca1d4ee81a32be7e8c801bdb"),
+    ("LGPL-2.0", "1db0c3363d11d7719baaa95a8861ca62fca5b13ac363ad7b736a8c357ff777b8"),
+    ("LGPL-2.0", "6a00f97ac0c23d0950ed43d6f3174069cd58df743c8133501d4ae6dd3820779a"),
+    ("LGPL-2.1", "f2e54490a112f1bcbda7acb2aa3b87904a21a100ed46f5c60e62941f68772f5b"),
+    ("LGPL-2.1", "c8a6f1cdaeca56e480b354de78b9d5e39734a0c6fb08be8de5950515e8d0f14d"),
+    ("LGPL-2.1", "3698ab16c45480d7135faf0a52db84c6834821daf0d50a38c39fc98e7dbd322e"),
     ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
-    ("GFDL-1.2", "5b36caa21df77ac0947535d076844f665054acfc9260bdf355fd38c03d9af51c"),
-    ("GFDL-1.3", "ea3938c3ed188d305c7cf1a0df1fc16f5c629c3efae548ba33f0f972ca32fda8"),
-    ("MPL-1.1", "83ccb0a7d1205ed11d234b7d8be882320eb06c6fae547cf952be7f258e413028"),
-    ("MPL-2.0", "940985bdc7c3d8f47b1f2c59b4cd3d5432727f580b4969906dad2202405999db"),
+    ("GFDL-1.2", "f39b5383e8a3c103cb156c1381fbcdf267128b7d1b7b7c88e784655f007204b3"),
+    ("GFDL-1.3", "212a37e81d291f0c8c886ffc33a3c0a0e4c8cc1316c358e0f3a4f155136a65c3"),
+    ("MPL-1.1", "df038d717217861fc8c486cce8c32d945c035e65bd8a1486f2cd489d4994722c"),
+    ("MPL-2.0", "6a5dcd2c7d384f389a8bcae9a546cfdc6ca1a2a5d7d06473212f48dc6fc981e8"),
     ("CC0-1.0", "ea632f41833cbfc31b72ee97996336ad96f978913868abbb9e9b06cb26a050f7"),
-    ("Artistic-1.0-Perl", "93aa47d57763801ed6e6a6591d4d4049a2c46794df90838023ceade56b569da0"),
+    ("Artistic-1.0-Perl", "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"),
     ("BSD-2-Clause", "a56fee4b2f66331ed54da4950ef9c9391453fd1490b4d8ea202bc29683bcbd30"),
     ("CC-BY-SA-4.0", "6b1132b6c0bd4b0a5ca2e6a35472a79aeeb68fcf49f6c3412900accdb57e9e6d"),
     ("ISC", "f172f90a892d869d5d840d5f4363218a9b21bdb1bd3925ba9c752d1660134fee"),
     ("ISC", "217da0747cec63a2e734185db11cbaa819bcd9e5b83cd12f812128fffe66e26a"),
     ("MIT", "46559ac7233556b376cbaed5c820190eaf6a55b1cf4860d0649c94a1a5b46a62"),
+    ("MIT", "ae07d51685858807a548c3cce7bef8714e6fd80383476d40e472a9efe9b92f5c"),
+    ("MIT", "9476b3cc49261c3e5e7a51c5772fcf66abe882a9a6170baf891e12184badea3b"),
     ("MIT", "b394918a083200adf8c5061924bc22de28062756b62d30b8e876d73b78acef8e"),
+    ("MIT", "cd9e55d33a3e50219bcc5be28f9d7a57462cb6bb9e167e023f6400aac79376ed"),
     ("NCSA", "6913cbaa86ba6f6211a99828e7002927d8fd1600ef6aa652a56c49e99ab76973"),
     ("OFL-1.1", "ab8bd3ac4d0231e64821c1f534fa52000e4b40bdf6b8ba8652e8e3dd884c1c6c"),
-    ("Unicode-3.0", "f668d216c2c9c3f4b606abf4ffd26c40321fdc515fbe32ee17633b31ca21ca2c"),
+    ("Unicode-3.0", "e88585316e1661f2987da4223f0c554175261880341286b103d4f886fd21cacc"),
     ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
     ("BSD-3-Clause", "9b83d3dee0616d07b82a272dd9bf5134a9f402b750f5ee6188458073b0a32ff2"),
-    ("BSD-2-Clause", "bb8d5167f37272384441ac2148c59da24c839b381820871d431b344c14921eed"),
+    ("BSD-2-Clause", "7be8178e4e9d0dea6ff4b04bd52bd086d7ea8386a5a6e09760df916bae5d42d2"),
     ("Unlicense", "9e1e88f923b8aacd42ef9a816c77a844bcb48e396b406b79d77672cd77c38889"),
     ("BSL-1.0", "5fcf89bde8c0c2deb999f4cc626e1aebf90e80fdc5cd334dae008152ef4a1ded"),
     ("BSL-1.0", "63f59f97ec9e89acbb1e5578cdcbff8ec71944fceeaaefb7f3531fb7772d40c6"),

@@ -394,6 +394,12 @@ def test_license_forms(spark):
     rows = [(k, f"x\n{t}\ny") for k, t in enumerate(want)]
     got = {r["doc_id"]: r["notices"] for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[k] for k in range(len(rows))] == [*want.values()]
+    import textwrap
+
+    wrapped = [(w, "Copyright (c) 2020 Someone\n© 2021 Another\nCopyright by A. Holder\n\n" + textwrap.fill(isc, w)) for w in range(30, 110)]
+    assert any(line.startswith("copyright notice") for _, t in wrapped for line in t.split("\n"))
+    got = license_scan.license_scan(spark.createDataFrame(wrapped, "doc_id long, text string")).collect()
+    assert {r["license"] for r in got} == {"ISC"}
     files = {n: f for n, f in (("GPL-3.0", "GPL-3"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")) if os.path.exists(f"/usr/share/common-licenses/{f}")}
     whole = [(n, open(f"/usr/share/common-licenses/{f}").read()) for n, f in files.items()]
     if whole:
@@ -401,7 +407,7 @@ def test_license_forms(spark):
         assert {r["doc_id"]: r["license"] for r in got} == {n: n for n in files}
 
 
-@pytest.mark.parametrize("name", ["op8_license_scan", "op10_exact_dedup"])
+@pytest.mark.parametrize("name", ["op8_license_scan", "op9_ngram_join", "op10_exact_dedup"])
 def test_against_sql(spark, name):
     import duckdb
 
