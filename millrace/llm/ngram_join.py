@@ -147,6 +147,8 @@ def packed(docs: DataFrame, bits: int) -> DataFrame:
     parts at once, and it travels on as one text's. So a token that a third of all texts hold
     meets in its bucket as one entry for each flush."""
 
+    resolved = min(bits, exchange.TURN)
+
     def go(batches):
         import numpy as np
 
@@ -158,7 +160,7 @@ def packed(docs: DataFrame, bits: int) -> DataFrame:
             doc = np.repeat(np.arange(len(held)), size)
             tok = np.concatenate([t for _, t in held])
             sent, shared = _collapsed(doc, tok)
-            return exchange.batch(exchange.pack(key[doc[sent]], tok[sent], [], bits, min(bits, exchange.TURN), WIDTH), _parts(key, size, (doc[shared], _token(tok[shared], bits)), bits))
+            return exchange.batch(exchange.pack(key[doc[sent]], tok[sent], [], bits, resolved, WIDTH), _parts(key, size, (doc[shared], _token(tok[shared], bits)), bits))
 
         for batch in batches:
             for c, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -142,8 +142,8 @@ def _batch(cls, h, pos, bits: int, resolved: int):
 class Packer:
     """Collects (hash, position) by text."""
 
-    def __init__(self, bits: int):
-        self.bits, self.held, self.size = bits, [], 0
+    def __init__(self, bits: int, resolved: int):
+        self.bits, self.resolved, self.held, self.size = bits, resolved, [], 0
 
     def add(self, key: int, h, pos) -> None:
         self.held.append((key, h, pos))
@@ -155,7 +155,7 @@ class Packer:
         cls = np.repeat(np.array([x[0] for x in self.held], np.int64), [len(x[1]) for x in self.held])
         h, pos = (np.concatenate([x[k] for x in self.held]) for k in (1, 2))
         self.held, self.size = [], 0
-        return _batch(cls, h, pos.astype(np.int64), self.bits, min(self.bits, exchange.TURN))
+        return _batch(cls, h, pos.astype(np.int64), self.bits, self.resolved)
 
 
 def meeting(packed: DataFrame, bits: int, volume: int, space: Workspace) -> DataFrame:
@@ -182,8 +182,10 @@ def meeting(packed: DataFrame, bits: int, volume: int, space: Workspace) -> Data
 
 
 def _grams(texts: DataFrame, bits: int) -> DataFrame:
+    resolved = min(bits, exchange.TURN)
+
     def go(batches):
-        hasher, packer, seen = Hasher(), Packer(bits), set()
+        hasher, packer, seen = Hasher(), Packer(bits, resolved), set()
         for batch in sliced(batches):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if key in seen:
@@ -417,10 +419,12 @@ def _ends(regions: DataFrame) -> DataFrame:
 def _windows(regions: DataFrame, bits: int) -> DataFrame:
     """Hashes of the windows of anchors at _at."""
 
+    resolved = min(bits, exchange.TURN)
+
     def go(batches):
         import numpy as np
 
-        hasher, packer = Hasher(), Packer(bits)
+        hasher, packer = Hasher(), Packer(bits, resolved)
         for batch in sliced(batches):
             for row in batch.to_pylist():
                 anchor, first, last = (np.array(row[c], np.int64) for c in ("_anchor", "_first", "_last"))
