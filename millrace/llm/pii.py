@@ -38,15 +38,28 @@ HOMOGLYPHS = {
 }
 #: Characters that show nothing.
 INVISIBLE = "­​‌‍⁠﻿"
-#: Spelled digits, and words for the plus sign.
-DIGITS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+#: Digits spelled in English, German, French and Spanish.
+DIGITS = {
+    "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+#: Words for the at sign, each with the words for the dot that go with it.
+AT_DOT = {"at": ("dot", "punkt"), "arobase": ("point",), "arroba": ("punto",)}
+
+#: Digits that make a run of digits and spelled digits a number, whatever its parts.
+NUMBER = 9
 
-_WORD = "|".join(DIGITS)
-_NUMBER = rf"(?<![A-Za-z])(?:{_WORD})(?![A-Za-z])"
-_RUN = re.compile(rf"(?:(?<![A-Za-z])plus[\s-]+)?{_NUMBER}(?:[\s,-]+{_NUMBER})*", re.I)
-_ONE = re.compile(_NUMBER, re.I)
-_BRACKETED = re.compile(r"(?<!\s)\s*[\[({<]\s*(at|dot|@|\.)\s*[\])}>]\s*", re.I)
-_SPOKEN = re.compile(r"(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)+)|(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.I)
+_ATS, _DOTS = "|".join(AT_DOT), "|".join(d for ds in AT_DOT.values() for d in ds)
+_TOKEN = re.compile(r"[^\W_]+")
+#: What may stand between the spelled digits of a run, between the parts of a number, and after a plus.
+_IN_RUN, _IN_NUMBER, _AFTER_PLUS = re.compile(r"[\s,-]+"), re.compile(r"[\s,().-]{1,3}"), re.compile(r"[\s-]+")
+_BRACKETED = re.compile(rf"(?<!\s)\s*[\[({{<]\s*({_ATS}|{_DOTS}|@|\.)\s*[\])}}>]\s*", re.I)
+#: A spelled at, and the dots of the name after it, of which one at least must be disguised.
+_SPOKEN_AT = re.compile("|".join(rf"(?<=[A-Za-z0-9])\s+{at}\s+(?=([A-Za-z0-9-]+(?:(?:\s+(?:{'|'.join(dots)})\s+|\.)[A-Za-z0-9-]+)+))" for at, dots in AT_DOT.items()), re.I)
+_DOT_AFTER, _DOT_BEFORE = re.compile(rf"\s+(?:{_DOTS})\s", re.I), re.compile(rf"\s(?:{_DOTS})\s+\Z", re.I)
+_SPOKEN_DOT = re.compile(rf"(?<=[A-Za-z0-9])\s+(?:{_DOTS})\s+(?=[A-Za-z0-9])", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -137,16 +150,45 @@ _FOREIGN = re.compile("[" + "".join(map(re.escape, [*HOMOGLYPHS, *INVISIBLE])) +
 
 
 def _digit_runs(text: str) -> list[tuple[int, int, str]]:
-    edits = []
-    for m in _RUN.finditer(text):
-        words = list(_ONE.finditer(text, m.start(), m.end()))
-        near = text[m.end() : m.end() + 1] + text[max(0, m.start() - 1) : m.start()]
-        if len(words) < 3 and not re.search("[0-9.@]", near):
-            alone = re.match(r"\s+dot\s", text[m.end() : m.end() + 8], re.I) or re.search(r"\sdot\s+\Z", text[max(0, m.start() - 8) : m.start()], re.I)
+    #: Numbers as (start, end, digit if spelled, where a plus before it starts), the chain of each, and the digits of a chain.
+    found, chain, digits = [], [], []
+    last = "", 0, 0
+    for m in _TOKEN.finditer(text):
+        word = m[0].lower()
+        spelled, (lo, hi) = DIGITS.get(word), m.span()
+        if spelled or word.isascii() and word.isdigit():
+            plus = last[1] if last[0] == "plus" and _AFTER_PLUS.fullmatch(text, last[2], lo) else None
+            if not (found and _IN_NUMBER.fullmatch(text, found[-1][1], lo)):
+                digits.append(0)
+            chain.append(len(digits) - 1)
+            digits[-1] += 1 if spelled else hi - lo
+            found.append((lo, hi, spelled, plus))
+        last = word, lo, hi
+    edits, k = [], 0
+    while k < len(found):
+        first = k
+        k += 1
+        if found[first][2] is None:
+            continue
+        while k < len(found) and found[k][2] is not None and _IN_RUN.fullmatch(text, found[k - 1][1], found[k][0]):
+            k += 1
+        plus, hi = found[first][3], found[k - 1][1]
+        lo = found[first][0] if plus is None else plus
+        if k - first < 3 and max(digits[c] for c in chain[first:k]) < NUMBER and not re.search("[0-9.@]", text[hi : hi + 1] + text[max(0, lo - 1) : lo]):
+            alone = _DOT_AFTER.match(text, hi, hi + 10) or _DOT_BEFORE.search(text[max(0, lo - 10) : lo])
             if not alone:
                 continue
-        plus = "+" if m[0][:4].lower() == "plus" else ""
-        edits.append((m.start(), m.end(), plus + "".join(DIGITS[w[0].lower()] for w in words)))
+        edits.append((lo, hi, ("" if plus is None else "+") + "".join(x[2] for x in found[first:k])))
+    return edits
+
+
+def _at_signs(r: Rewritten) -> list[tuple[int, int, str]]:
+    edits = []
+    for m in _SPOKEN_AT.finditer(r.text):
+        name = next(k for k, x in enumerate(m.groups(), 1) if x)
+        made = r.changed is not None and any(r.changed[k] and r.text[k] == "." for k in range(*m.span(name)))
+        if made or re.search(r"\s", m[name]):
+            edits.append((*m.span(), "@"))
     return edits
 
 
@@ -156,11 +198,12 @@ def disguised_spans(text: str) -> list[tuple[str, int, int]]:
     if not text.isascii():
         r.replace(_look_alikes(r.text))
         low = r.text.lower()
-    if sum(w in low for w in DIGITS) >= 2 or "dot" in low:
+    if not DIGITS.keys().isdisjoint(_TOKEN.findall(low)):
         r.replace(_digit_runs(r.text))
-    if "dot" in low or _BRACKETED.search(r.text):
-        r.replace([(*m.span(), {"at": "@", "dot": "."}.get(m[1].lower(), m[1])) for m in _BRACKETED.finditer(r.text)])
-        r.replace([(*m.span(), "@" if m[0].strip().lower() == "at" else ".") for m in _SPOKEN.finditer(r.text)])
+    if any(w in low for w in _DOTS.split("|")) or _BRACKETED.search(r.text):
+        r.replace([(*m.span(), "@" if m[1].lower() in AT_DOT else "." if m[1] not in "@." else m[1]) for m in _BRACKETED.finditer(r.text)])
+        r.replace(_at_signs(r))
+        r.replace([(*m.span(), ".") for m in _SPOKEN_DOT.finditer(r.text)])
     if r.start is None:
         return []
     out = []
@@ -215,5 +258,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     line = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select(
-        "doc_id", *[count(k) for k in KINDS], F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_disguised")
+        "doc_id", *[count(k) for k in KINDS], F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_disguised"), F.size("spans").cast("long").alias("n_spans")
     )

@@ -240,13 +240,19 @@ def test_pii_base(texts):
         ("a 4111​111111111111 b", "card", "4111​111111111111"),
         ("one nine two dot one six eight dot one dot two five", "ip", "one nine two dot one six eight dot one dot two five"),
         ("call plus four nine one five one two three four five six now", "phone", "plus four nine one five one two three four five six"),
+        ("call +1 five 5 five 0 one 2 three 4 now", "phone", "+1 five 5 five 0 one 2 three 4"),
+        ("call plus vier neun eins fünf eins zwei drei vier fünf sechs jetzt", "phone", "plus vier neun eins fünf eins zwei drei vier fünf sechs"),
+        ("write john at example [dot] com", "email", "john at example [dot] com"),
+        ("write john at mail (dot) example dot com", "email", "john at mail (dot) example dot com"),
+        ("write john at example(dot)com", "email", "john at example(dot)com"),
+        ("a john arroba ejemplo punto com", "email", "john arroba ejemplo punto com"),
     ],
 )
 def test_pii_disguises(text, kind, found):
     assert (kind, text.index(found), text.index(found) + len(found)) in pii.all_spans(text)[1]
 
 
-@pytest.mark.parametrize("text", ["meet at two dot", "one of the two at home. dot", "five six", "naïve café", "at the dot of ten"])
+@pytest.mark.parametrize("text", ["meet at two dot", "one of the two at home. dot", "five six", "naïve café", "at the dot of ten", "meet me at example.com", "arrived at one point in time", "un peu de neuf, un point de vue"])
 def test_pii_leaves_clean_text(text):
     assert pii.all_spans(text) == ([], [])
 
