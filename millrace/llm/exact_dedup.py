@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 
 from ._common import Workspace, squeezed, table, whole
 
+#: Letters and digits from the beginning, and from the end, of each script: Latin, Greek, Cyrillic, Hebrew, Arabic,
+#: Devanagari, Thai, kana, Han, Hangul.
+EARLY = r"0-4A-Fa-f\u00e0-\u00ea\u03b1-\u03b8\u0430-\u0437\u05d0-\u05d6\u0621-\u062e\u0905-\u0920\u0e01-\u0e14\u3041-\u305f\u30a1-\u30bf\u4e00-\u67ff\uac00-\ub9ff"
+LATE = r"5-9M-Zm-z\u00eb-\u00ff\u03bd-\u03c9\u043c-\u044f\u05dc-\u05ea\u0633-\u064a\u0928-\u094d\u0e19-\u0e4e\u306a-\u3093\u30ca-\u30f3\u7000-\u9fff\ubd00-\ud7a3"
 #: A chunk ends after this pattern, once it is LEAST characters long, or when it is MOST long.
-BOUNDARY, LEAST, MOST = "[a-f][m-z][a-f][m-z]", 1024, 8192
+BOUNDARY, LEAST, MOST = f"[{EARLY}][{LATE}][{EARLY}][{LATE}]", 1024, 8192
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

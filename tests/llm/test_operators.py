@@ -47,6 +47,15 @@ def test_exact_groups(odd):
     assert (None, None, 1, True) in out
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "0123456789", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "".join(map(chr, range(0x4E00, 0x9FFF, 7))), "".join(map(chr, range(0xAC00, 0xD7A3, 5)))])
+def test_chunks_follow_the_content(spark, letters):
+    """A few characters put in front move no cut but the first ones, whatever the script."""
+    text = "".join(random.Random(5).choices(letters, k=40_000))
+    rows = exact_dedup.chunked(spark.createDataFrame([(1, text), (2, letters[:9] + text)], "doc_id int, text string"), "doc_id", "text").collect()
+    one, two = ({p["h"] for p in r["_parts"]} for r in rows)
+    assert len(one) > 20 and len(one & two) >= 0.8 * len(one)
+
+
 def test_exact_clash(spark):
     rows = spark.createDataFrame([(1, b"a"), (1, b"b"), (2, b"c"), (2, b"c")], "h long, v binary")
     got = {(r["h"], bytes(r["v"])): r["ident"] for r in exact_dedup.identifiers(rows).collect()}
