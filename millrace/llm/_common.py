@@ -60,7 +60,9 @@ class Workspace:
     """Tables that cut lineage: written once to the shared folder and read from there.
 
     A written table outlives the executors that wrote it, and what follows sees one
-    fixed set of rows even if tasks are run again."""
+    fixed set of rows even if tasks are run again. Spark deletes the shuffle files of a plan when
+    the driver collects the plan as garbage; left to chance, the files of all steps lie side by
+    side. So each written table has the driver collect, which frees those of the step before."""
 
     def __init__(self, spark: SparkSession, name: str):
         small_batches(spark)
@@ -68,6 +70,7 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def _files(self, name: str):

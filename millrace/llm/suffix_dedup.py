@@ -511,6 +511,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     undecided = space.save(ends.filter("_flag").select("_hash").distinct(), "undecided")
     open_ = ends.join(undecided, "_hash", "left_semi").groupBy("_class").agg(F.sort_array(F.collect_set("_pos")).alias("_at"))
     more = space.save(meeting(_windows(regions.join(open_, "_class"), bits), bits, volume, space), "more").select("_class", "_at")
+    space.drop("regions", "ends", "undecided")
     both = known.union(more).groupBy("_class").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("_at")))).alias("_at"))
     per = known_texts.select("_class", "_copies").join(both, "_class", "left").join(anchors.select("_class", "_across"), "_class", "left").withColumnRenamed("_class", "_c")
     # Written, so that nothing but the join stands above the exchange of a hot class, and adaptive execution can split it.
