@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 #: Bytes of an Arrow batch; hashes of text that may be shared by different texts (of 5e10 texts about 70 are).
 BATCH, CLASHES = 2 << 20, 10_000
+#: Spark's setting that the shuffle files of a statement go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,14 +64,23 @@ class Workspace:
     A written table outlives the executors that wrote it, and what follows sees one
     fixed set of rows even if tasks are run again. Spark deletes the shuffle files of a plan when
     the driver collects the plan as garbage; left to chance, the files of all steps lie side by
-    side. So each written table has the driver collect, which frees those of the step before."""
+    side. So the write that makes a table has Spark delete its shuffle files when it ends (Spark
+    4.1 and later; before, a collection by the driver frees those of the step before)."""
 
     def __init__(self, spark: SparkSession, name: str):
         small_batches(spark)
         self.spark, self.root = spark, f"{shared_folder(spark)}/millrace-{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
         self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
