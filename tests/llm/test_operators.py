@@ -517,3 +517,18 @@ def test_pipeline(spark, docs, texts):
     codec = p.bpe.Codec(p.bpe.default_path())
     for r in got[4]:
         assert r["ids_sha256"] == hashlib.sha256(codec.encode(texts[r["doc_id"]])).hexdigest()
+
+
+def test_written_tables_leave_settings_alone(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.llm._common import CLEANUP
+
+    for before in (None, "false"):
+        if before:
+            spark.conf.set(CLEANUP, before)
+        rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+        assert Workspace(spark, "test").save(rows, "rows").agg(F.sum("n").alias("n")).first()["n"] == 1000
+        assert spark.conf.get(CLEANUP, None) == before
+        assert rows.count() == 7  # what was written can be asked for again
+        spark.conf.unset(CLEANUP)
